@@ -1,11 +1,71 @@
-"""The corpus pipeline: five stages over ``documents``."""
+"""The corpus pipeline over ``documents``: toxicity, line dedup, n-gram Jaccard join, benchmark
+decontamination, mixing of sources. Each stage works on all that its predecessor kept."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from strandex.llm import decontam, jaccard, linededup, mixing, toxicity
+from strandex.llm.runtime import Tables, read
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents with at least this score are rejected: more toxic training texts than others score so.
+REJECT = 0.5
+
+
+def _semi(docs: DataFrame, bad: DataFrame, work: Tables, limit: int = 4_000_000) -> DataFrame:
+    """``docs`` without the ids in ``bad``, which are broadcast only if they are few."""
+    bad = work.write("bad", bad.select(F.col("doc_id").alias("_bad")).where("_bad IS NOT NULL").distinct())
+    bad = F.broadcast(bad) if bad.count() <= limit else bad
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti").select(*COLUMNS)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scorer = toxicity.fit_toxicity(docs, read(spark, sf_dir, "labels"))
+    return _semi(docs, toxicity.score_texts(docs, scorer, threshold=REJECT).where("predicted = 1"), Tables(spark, "stage1"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which nothing is left go; those that were empty before stay."""
+    cleaned = linededup.dedup_lines(docs)
+    gone = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", n_chars).select(*COLUMNS)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class stays."""
+    found = jaccard.similar_sets(docs)
+    return _semi(docs, found.where("component_id <> doc_id"), Tables(spark, "stage3"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return _semi(docs, found.where("contaminated"), Tables(spark, "stage4"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes, with the number of copies; documents without words weigh nothing and stay."""
+    mixed = mixing.mix_sources(docs)
+    copies = F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(1).cast("int")
+    return mixed.withColumn("copies", copies).where("copies > 0").select(*COLUMNS, "size", "source_size", "target", "taken", "copies")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard", dedup_documents),
+    ("decontamination", drop_leaks),
+    ("mixing", mix),
+]
+#: Learned scores and hashed sets have no SQL form; tests/llm compares the stages with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, work = read(spark, sf_dir, "documents"), Tables(spark, "pipeline")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.write(name, docs)
     return docs

@@ -26,7 +26,7 @@ from strandex.llm.runtime import Tables
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-#: Bytes of benchmark text in a block, about; a longer item is a block alone.
+#: Bytes of benchmark text in a block, about (items are dealt to blocks by hash).
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 20
 

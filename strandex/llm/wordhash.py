@@ -89,10 +89,19 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running polynomial of the bytes; between() hashes any byte range with it."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTES[data] * _powers(len(data), _BASE), out=total[1:])
-    return mix((total[ends] - total[starts]) * _powers(len(data) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    return total
+
+
+def between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return mix((total[ends] - total[starts]) * _powers(len(total), _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return between(sums(data), starts, ends)
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:
