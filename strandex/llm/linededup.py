@@ -15,25 +15,26 @@ from strandex.llm.runtime import Tables
 #: Cut points: zero-width, so that the lines of a text joined give the text.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
 WINDOW = 3
-#: Covered positions that are broadcast to the texts at most (8 bytes each); more are joined by a shuffle.
-BROADCAST_POSITIONS = 4_000_000
+_MARK = "\x01"
 
 
 def _lines(text):
-    return F.split(text, LINE_END)
+    """The text cut at LINE_END. Plain replacements find the ends much faster than the pattern, which
+    is left for texts that hold the mark themselves."""
+    marked = text
+    for end in ("\n", ". ", "! ", "? "):
+        marked = F.replace(marked, F.lit(end), F.lit(end + _MARK))
+    return F.when(F.contains(text, F.lit(_MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, _MARK))
 
 
-def _windows(text):
-    """xxhash64 of each window of three line hashes, in order."""
-    lines = F.transform(_lines(text), lambda x: F.xxhash64(F.trim(F.translate(x, "\n\r\t\f\x0b", "     "))))
-    return F.when(
-        F.size(lines) >= WINDOW,
-        F.zip_with(
-            F.zip_with(F.slice(lines, 1, F.size(lines) - 2), F.slice(lines, 2, F.size(lines) - 2), lambda a, b: F.xxhash64(a, b)),
-            F.slice(lines, 3, F.size(lines) - 2),
-            lambda ab, c: F.xxhash64(ab, c),
-        ),
-    )
+def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, pos, w): xxhash64 of each window of three line hashes. Each step is a projection of its
+    own, so that a text is cut and hashed once, however often the next step refers to its lines."""
+    line = lambda x: F.xxhash64(F.btrim(x, F.lit(" \n\r\t\f\x0b")))
+    hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(_lines(F.col(text_col)), line).alias("h"))
+    long = hashed.select("id", "h", F.greatest(F.size("h") - WINDOW + 1, F.lit(0)).alias("n"))  # a filter on the size would cut and hash the text again
+    parts = long.select("id", *[F.slice("h", F.lit(k), F.col("n")).alias(f"h{k}") for k in (1, 2, 3)])
+    return parts.select("id", F.posexplode(F.arrays_zip("h1", "h2", "h3")).alias("pos", "z")).select("id", "pos", F.xxhash64("z.h1", "z.h2", "z.h3").alias("w"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,15 +46,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     named n_lines or n_removed are replaced.
     """
     work = Tables(docs.sparkSession, "linededup")
-    places = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.posexplode(_windows(F.col(text_col))).alias("pos", "w"))
+    places = work.write("places", _places(docs, id_col, text_col))
     repeated = work.write("repeated", places.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "pos")).alias("kept")).where("n > 1").select("w", "kept"))
     later = places.join(repeated, "w").where((F.col("id") > F.col("kept.id")) | ((F.col("id") == F.col("kept.id")) & (F.col("pos") > F.col("kept.pos"))))
     covered = work.write("covered", later.groupBy("id").agg(F.collect_set("pos").alias("_starts")))
-    work.drop("repeated")
-    held = covered.agg(F.sum(F.size("_starts") + 2)).first()[0] or 0
+    work.drop("places", "repeated")
     covered = covered.withColumnRenamed("id", "_covered_id")
-    if held <= BROADCAST_POSITIONS:
-        covered = F.broadcast(covered)
     taken = F.flatten(F.transform(F.col("_starts"), lambda p: F.array(p, p + 1, p + 2)))
     lines = F.when(F.col(text_col).isNotNull(), _lines(F.col(text_col)))
     places_kept = F.when(F.col("_starts").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), taken))
@@ -68,7 +66,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 SQL = r"""
 WITH t AS (SELECT doc_id, text, string_split(regexp_replace(text, '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS l FROM documents WHERE text IS NOT NULL),
 u AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS raw FROM t),
-k AS (SELECT doc_id, i, raw, trim(translate(raw, chr(10) || chr(13) || chr(9) || chr(12) || chr(11), '     ')) AS line FROM u),
+k AS (SELECT doc_id, i, raw, trim(raw, ' ' || chr(10) || chr(13) || chr(9) || chr(12) || chr(11)) AS line FROM u),
 w AS (SELECT doc_id, i, line AS a, lead(line, 1) OVER d AS b, lead(line, 2) OVER d AS c, lead(i, 2) OVER d AS i2 FROM k WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
 r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, i) AS n FROM w WHERE i2 IS NOT NULL),
 x AS (SELECT DISTINCT doc_id, i + s AS i FROM r, (SELECT unnest([0, 1, 2]) AS s) WHERE n > 1),
