@@ -16,16 +16,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandex.llm import wordhash
+from strandex.llm.runtime import Tables
 
 #: Bytes of the stems that count as tokens beside the whole word.
 STEMS = (4, 5, 6)
 #: Strength of the Dirichlet prior in tokens, its floor per token, least z-score, most tokens kept (by z-score).
-PRIOR, FLOOR, LEAST_Z, MOST_TOKENS = 10_000.0, 0.5, 4.0, 1 << 16
+PRIOR, FLOOR, LEAST_Z, MOST_TOKENS = 10_000.0, 0.5, 3.5, 1 << 16
 #: Subtracted from the weight of every word, so that the expected weight is negative.
 DRIFT = 0.3
 GRID = np.round(np.arange(1, 31) * 0.1, 1)
 #: Bins of the evidence for the calibration.
-LOW, HIGH, BINS = -10.0, 30.0, 80
+LOW, HIGH, BINS = -10.0, 40.0, 100
+#: Further segments that count, and how much.
+FURTHER, PART = 2, 0.25
 #: Labels broadcast to the texts at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
 _SALT = np.random.default_rng(99).integers(0, 2**63, len(STEMS) + 1, dtype=np.uint64)
@@ -67,6 +70,22 @@ def _presence(train: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
 
 
+def _without_copies(train: DataFrame) -> DataFrame:
+    """(text, toxic) of the least id of the texts with the same label and the same least 5-gram hash.
+    The groups are made from ids and hashes; the ids that stay are joined back."""
+
+    def run(batches):
+        for batch in batches:
+            least = [int(wordhash.grams(w, min(5, len(w))).min()) if len(w) else 0 for w in wordhash.documents(batch.column(1), wordhash.NOT_ALNUM)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], names=["id", "toxic", "least"])
+
+    kind = train.schema["id"].dataType.simpleString()
+    stay = train.mapInArrow(run, f"id {kind}, toxic boolean, least long").groupBy("toxic", "least").agg(F.min("id").alias("_stay")).select("_stay")
+    stay = Tables(train.sparkSession, "toxicity").write("stay", stay.distinct())
+    stay = F.broadcast(stay) if stay.count() <= BROADCAST_LABELS else stay
+    return train.join(stay, train["id"] == stay["_stay"], "left_semi").select("text", "toxic")
+
+
 def _log_odds(counts: DataFrame) -> DataFrame:
     """(token, weight, z) of the significant tokens."""
     totals = counts.agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0"))
@@ -81,35 +100,33 @@ def _log_odds(counts: DataFrame) -> DataFrame:
 class Scorer:
     """Weights of the significant tokens, the extreme-value parameters and the calibration."""
 
-    def __init__(self, tokens: np.ndarray, weights: np.ndarray, z: np.ndarray):
+    def __init__(self, tokens: np.ndarray, weights: np.ndarray):
         order = np.argsort(tokens)
-        self.tokens, self.weights, self.z = tokens[order], weights[order], np.abs(z[order])
+        self.tokens, self.weights = tokens[order], weights[order]
         self.filter = np.zeros(1 << 20, bool)
         self.filter[self.tokens & np.uint64((1 << 20) - 1)] = True
         self.lam, self.k = float(GRID[-1]), 1.0
         self.curve = np.full(BINS, 0.5)
 
     def word_weights(self, kinds: list[np.ndarray]) -> np.ndarray:
-        """Of each word the weight of its most significant token; 0 without one."""
-        best, weight = np.zeros(len(kinds[0])), np.zeros(len(kinds[0]))
+        """Of each word the weight of its longest significant token; 0 without one."""
+        open_, weight = np.ones(len(kinds[0]), bool), np.zeros(len(kinds[0]))
         if not len(self.tokens):
             return weight
-        for hashes in kinds:
-            maybe = np.flatnonzero(self.filter[hashes & np.uint64((1 << 20) - 1)])
+        for hashes in (kinds[0], *kinds[:0:-1]):
+            maybe = np.flatnonzero(self.filter[hashes & np.uint64((1 << 20) - 1)] & open_)
             at = np.minimum(np.searchsorted(self.tokens, hashes[maybe]), len(self.tokens) - 1)
             known = self.tokens[at] == hashes[maybe]
             maybe, at = maybe[known], at[known]
-            better = self.z[at] > best[maybe]
-            maybe, at = maybe[better], at[better]
-            best[maybe], weight[maybe] = self.z[at], self.weights[at]
+            open_[maybe], weight[maybe] = False, self.weights[at]
         return weight
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         level = np.log(self.k * n + 1)
-        beyond = [self.lam * s - level for _, _, s in segments]
+        beyond = sorted((self.lam * s - level for _, _, s in segments), reverse=True)
         if not beyond:
             return LOW
-        return float(np.clip(sum(x for x in beyond if x > 0) or max(beyond), LOW, HIGH))
+        return float(np.clip(beyond[0] + PART * sum(max(0.0, x) for x in beyond[1 : 1 + FURTHER]), LOW, HIGH))
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         centres = LOW + (np.arange(BINS) + 0.5) * (HIGH - LOW) / BINS
@@ -168,22 +185,21 @@ def _rows(train: DataFrame, shared) -> DataFrame:
 
 
 def _monotone(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Shares by bin that never fall (pool adjacent violators), drawn towards the whole's share by one text."""
+    """Shares by bin that never fall (pool adjacent violators), drawn towards the whole's share by one
+    text; bins without a text lie on the line between their neighbours."""
     base = (toxic.sum() + 0.5) / (toxic.sum() + other.sum() + 1)
-    blocks: list[list[float]] = []
-    for t, o in zip(toxic, other):
-        if t + o == 0:
-            if blocks:
-                blocks[-1][2] += 1
-            else:
-                blocks.append([0.0, 0.0, 1])
-            continue
-        blocks.append([float(t), float(o), 1])
-        while len(blocks) > 1 and blocks[-2][0] * (blocks[-1][0] + blocks[-1][1]) >= blocks[-1][0] * (blocks[-2][0] + blocks[-2][1]):
-            t1, o1, k = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + t1, blocks[-1][1] + o1, blocks[-1][2] + k]
-    shares = np.concatenate([np.full(int(k), (t + base) / (t + o + 1)) for t, o, k in blocks])
-    return np.maximum.accumulate(shares)
+    full = np.flatnonzero(toxic + other)
+    if not len(full):
+        return np.full(len(toxic), base)
+    pools: list[tuple[float, float, int]] = []
+    for t, o in zip(toxic[full], other[full]):
+        t, o, k = float(t), float(o), 1
+        while pools and pools[-1][0] * (t + o) >= t * (pools[-1][0] + pools[-1][1]):
+            before = pools.pop()
+            t, o, k = t + before[0], o + before[1], k + before[2]
+        pools.append((t, o, k))
+    shares = np.maximum.accumulate(np.concatenate([np.full(k, (t + base) / (t + o + 1)) for t, o, k in pools]))
+    return np.interp(np.arange(len(toxic)), full, shares)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Scorer:
@@ -192,9 +208,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(F.col(label_col).cast("int")) > 0).alias("toxic"))
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
-    train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("text", "toxic")
+    train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("id", "text", "toxic")
+    train = _without_copies(train)
     kept = _log_odds(_presence(train)).collect()
-    scorer = Scorer(np.array([r["token"] for r in kept], np.int64).view(np.uint64), np.array([r["weight"] for r in kept], float), np.array([r["z"] for r in kept], float))
+    scorer = Scorer(np.array([r["token"] for r in kept], np.int64).view(np.uint64), np.array([r["weight"] for r in kept], float))
     rows = _rows(train, spark.sparkContext.broadcast(scorer))
     clean = rows.where(~F.col("toxic"))
     total = clean.agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"g{i}") for i in range(len(GRID))]).first()
