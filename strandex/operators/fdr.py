@@ -24,7 +24,8 @@ def with_q_values(df: DataFrame, p_columns: Sequence[str], config: Sequence[str]
         group = Window.partitionBy(*config, F.col("_p").isNull())
         rank, m = F.row_number().over(group.orderBy("_p")), F.count(F.lit(1)).over(group)
         step = df.withColumn("_step", F.col("_p") * m / rank)
-        upward = F.min("_step").over(group.orderBy("_p", F.desc("_step")).rowsBetween(Window.currentRow, Window.unboundedFollowing))
+        # From the largest p down: a frame that only grows is summed once, one that shrinks again for each row.
+        upward = F.min("_step").over(group.orderBy(F.desc("_p"), "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
         df = step.withColumn(q_name(p), F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), upward))).drop("_p", "_step")
     return df
 
