@@ -84,7 +84,7 @@ def _leaf(x: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
     at = np.zeros(len(x), np.int64)
     if tree:
         axis, cut = np.array([t[0] for t in tree]), np.array([t[1] for t in tree])
-        while at.min(initial=0) < len(tree) and len(x):
+        for _ in range((len(tree) + 1).bit_length() - 1):
             at = 2 * at + 1 + (x[np.arange(len(x)), axis[at]] > cut[at])
     return at - len(tree)
 
