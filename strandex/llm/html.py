@@ -153,7 +153,7 @@ def main_text(page: str | None) -> str:
     # A path keeps its own ratio if that is above the smoothed one: a long path isn't drowned by short neighbours.
     fused = np.maximum(length, _smooth(length)) * np.maximum(marks, _smooth(marks))
     content = {p for p, x in zip(paths, fused) if x >= THRESHOLD * fused.max()}
-    containers: dict[tuple[int, ...], int] = {}
+    containers: set[tuple[int, ...]] = set()
     for path, numbers, _, text in found:
         if path in content and text.strip():
             k = len(path)
@@ -167,10 +167,11 @@ def main_text(page: str | None) -> str:
                     k -= 1  # a paragraph's parent
                 while k and path[k - 1] in ("ul", "ol", "dl", "table", "tbody", "tr", "blockquote", "figure", "li", "td"):
                     k -= 1
-            containers[numbers[:k]] = containers.get(numbers[:k], 0) + len(text)
-    main = {c for c in containers if any(_is_main(p, n, c) for p, n, _, _ in found)}
-    if main:
-        containers = {c: v for c, v in containers.items() if c in main}
+            containers.add(numbers[:k])
+    for tag in ("article", "main"):
+        if inside := {n[: len(c)] for p, n, _, _ in found for c in containers if c and n[: len(c)] == c and p[len(c) - 1] == tag}:
+            containers = inside
+            break
     lengths = {len(c) for c in containers}
     blocks: dict[int, list[str]] = {}
     for _, numbers, block, text in found:
@@ -180,11 +181,6 @@ def main_text(page: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _is_main(path: tuple[str, ...], numbers: tuple[int, ...], container: tuple[int, ...]) -> bool:
-    k = len(container)
-    return bool(k) and numbers[:k] == container and path[k - 1] in ("article", "main")
-
-
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: the id, the url, ``text`` and ``n_chars`` (its code points).
 

@@ -1,18 +1,23 @@
 """Exact n-gram Jaccard join with classes, by vertical partitioning.
 
 A document's set is the distinct hashes of its word n-grams; the hash order is the global n-gram
-order. 1. Equal sets are one set from here on. 2. Candidates share n-grams in the first SKETCH ones
-of that order (the least hashes). If two sets link, every n-gram of their union is shared with a
-probability of 3/4 or more, independently of the order, so that fewer than SHARED of SKETCH are
-shared in less than 1e-12 of all links; sets of up to WHOLE n-grams are taken whole, where the bound
-is certain. By the prefix principle it is enough to look at the n-grams of each sketch that are
-rarest in the corpus, without its SHARED - 1 most frequent ones. 3. A candidate pair is verified by
-vertical partitioning: the n-gram order is cut into FRAGMENTS ranges, the overlap of each pair is
-counted in each fragment on its own, and the counts are summed per pair.
-
-Large groups are never expanded into pairs: first, each set is compared with one set of each n-gram
-(its pivot); n-grams whose sets are then all in one class can bring nothing new. Only sets of
-different classes are then compared with one another, under the size bound.
+order, cut into FRAGMENTS ranges. Overlaps of a pair are counted in each fragment on its own and
+summed per pair. What remains is to verify few pairs, and still all that can matter:
+
+1. Equal sets are one set from here on.
+2. Each set has a sketch, its first SKETCH n-grams in the global order (the whole set up to WHOLE).
+   If two sets link, every n-gram of their union is shared with a probability of 3/4 or more,
+   independently of the order; they share fewer than SHARED of the sketch in less than 1e-12 of all
+   links (in none if the sets are taken whole).
+3. Each n-gram of the sketches has a pivot: of the sets that hold it, the one most of whose sketch
+   other sets hold too, the middle of a group of near copies. Sets are compared with pivots only,
+   and links make classes. A group costs one pair per member, not one per pair.
+4. Sets that share SHARED sketch n-grams with sets of other classes stay open. For these alone the
+   whole sets are looked at, by the exact prefix principle: n-grams that no other class holds come
+   first, then the rarest, and linked sets must meet in the first n - ceil(3/4 n) + 1 of them.
+   Pairs of different classes that meet, and whose sizes and counts of n-grams held by other classes
+   allow a link, are verified like the others. This finds every link between classes, so that the
+   classes are exact whatever the pivots were.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from strandex.llm.runtime import Tables
 
 SKETCH, SHARED, WHOLE = 48, 12, 96
 FRAGMENTS = 8
-#: Frequent n-grams whose counts order the sketches; an order of the others by hash is as right.
-HOT_COUNT, HOT_MOST = 48, 1 << 16
+#: Sketch n-grams that a set shares with a pivot to be compared with it (fewer if the sketch is small).
+#: Of no effect on the result, as step 4 is exact.
+WITH_PIVOT = 4
 #: Ids broadcast to the texts at most (8 bytes each).
 BROADCAST_IDS = 4_000_000
 
@@ -66,34 +72,16 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
-def _rarest(sets: DataFrame, hot: dict[str, np.ndarray]) -> DataFrame:
-    """(gram, id, n): of each sketch the grams that a linked sketch must meet."""
-    shared = sets.sparkSession.sparkContext.broadcast(hot)
+def _exploded(docs: DataFrame, n: int) -> DataFrame:
+    """(id, gram) of the whole sets."""
 
     def run(batches):
-        grams, counts = shared.value["gram"], shared.value["count"]
         for batch in batches:
-            lists, ids, sizes = batch.column(2), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat, offs = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
-            offs = offs - offs[0]
-            often = np.zeros(len(flat), np.int64)
-            if len(grams):
-                at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-                often = np.where(grams[at] == flat, counts[at], 0)
-            out, of = [], []
-            for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                need = min(SHARED, -(-3 * int(sizes[i]) // 4))
-                keep = b - a - need + 1
-                part = flat[a:b]
-                if often[a:b].any():
-                    part = part[np.argsort(often[a:b], kind="stable")]
-                out.append(part[:keep])
-                of.append(np.full(keep, i))
-            of = np.concatenate(of) if of else np.zeros(0, np.int64)
-            gram = np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[of]), pa.array(sizes[of])], names=["gram", "id", "n"])
-
-    return sets.select("id", "n", "sketch").mapInArrow(run, "gram long, id long, n long")
+            for doc, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n)):
+                if len(grams):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), doc, np.int64)), pa.array(grams.view(np.int64))], names=["id", "gram"])
+
+    return docs.mapInArrow(run, "id long, gram long")
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -120,8 +108,7 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, name: str) -> DataFrame:
     """Of the pairs (a, b, na, nb) those that link, by overlaps counted per fragment and summed."""
     ids = work.write(f"{name}_ids", pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    segments = work.write(f"{name}_segments", _fragments(docs.join(ids, docs["id"] == ids["i"], "left_semi"), n))
+    segments = work.write(f"{name}_segments", _fragments(_of_ids(docs, ids), n))
     left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga"))
     right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"))
@@ -165,6 +152,67 @@ def components(links: DataFrame, work: Tables, name: str) -> DataFrame:
         step += 1
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids (column i)."""
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    return docs.join(ids, docs["id"] == ids["i"], "left_semi")
+
+
+def _need(n: str, percent: int):
+    """Members that a set of n shares at least with a linked set."""
+    return F.ceil(percent * F.col(n) / 100)
+
+
+def _fits(a: str, b: str, percent: int):
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _pivot_links(sets: DataFrame, grams: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables) -> DataFrame:
+    """Links between sets and pivots (step 3)."""
+    held = grams.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
+    scored = grams.join(held, "id").withColumn("share", F.col("held") / F.col("size"))
+    pivots = work.write("pivots", scored.groupBy("gram").agg(F.max(F.struct("share", (-F.col("id")).alias("k"), "n")).alias("p")).select("gram", (-F.col("p.k")).alias("pivot"), F.col("p.n").alias("np")))
+    met = grams.join(pivots, "gram").where((F.col("id") != F.col("pivot")) & _fits("n", "np", percent))
+    pairs = met.groupBy("id", "pivot", "n", "np", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.least(F.lit(WITH_PIVOT), F.ceil(F.col("size") / 4)))
+    first = F.col("id") < F.col("pivot")
+    pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("np")).alias("na"), F.when(first, F.col("np")).otherwise(F.col("n")).alias("nb")).distinct()
+    pairs = work.write("pivot_pairs", _plausible(work.write("pivot_met", pairs), sets, percent))
+    work.drop("pivots", "pivot_met")
+    return _verified(pairs, docs, n, percent, work, "pivot")
+
+
+def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose sketches allow a link."""
+    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("sketch").alias("kb")), "b").join(sets.select(F.col("id").alias("a"), F.col("sketch").alias("ka")), "a")
+    need = F.least(F.lit(SHARED), _need("na", percent), _need("nb", percent))
+    return both.where(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b", "na", "nb")
+
+
+def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables) -> DataFrame:
+    """Pairs (a, b, na, nb) of different classes that may link (step 4)."""
+    classed = work.write("classed", grams.join(labels.withColumnRenamed("v", "id"), "id", "left").select("gram", "id", "n", F.coalesce("c", "id").alias("c")))
+    several = work.write("several", classed.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram"))
+    shared = classed.join(several, "gram").groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("m"))
+    unsettled = work.write("unsettled", shared.where(F.col("m") >= F.least(F.lit(SHARED), _need("n", percent))).select(F.col("id").alias("i"), "n", "c"))
+    work.drop("classed", "several")
+    whole = _exploded(_of_ids(docs, unsettled.select("i").distinct()), n)
+    whole = work.write("whole", whole.join(unsettled, F.col("id") == F.col("i")).select("id", "gram", "n", "c"))
+    mixed = work.write("mixed", whole.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram", "df"))
+    own = whole.join(mixed, "gram").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("held"))
+    # n - e n-grams come before these e; of the prefix, so many are left for these.
+    left = F.size("held") - _need("n", percent) + 1
+    prefix = own.where(left > 0).select("id", "n", "c", F.size("held").alias("e"), F.explode(F.slice("held", F.lit(1), left.cast("int"))).alias("g"))
+    step = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # differs by one at most between linked sets
+    prefix = work.write("prefix", prefix.select("id", "n", "c", "e", F.col("g.gram").alias("gram"), step.alias("step")))
+    work.drop("whole", "mixed")
+    x = prefix.select("gram", "step", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "c", "e")])
+    y = prefix.select("gram", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "e")])
+    most = F.least("e_a", "e_b")  # of the overlap
+    fits = _fits("n_a", "n_b", percent) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
+    met = x.join(y, ["gram", "step"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+
+
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, ``n_shingles`` and ``component_id``.
 
@@ -178,64 +226,25 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
         raise ValueError("the sketch is proven for 75 percent and more")
     work = Tables(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    profile = work.write("profile", _profile(docs, n))
-    same = profile.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
+    full = work.write("full", _profile(docs, n))
+    same = full.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
     sets = work.write("sets", same.agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
-
-    # Grams that several sketches hold, with the least of the sets that hold them.
-    counts = sets.select("id", F.explode("sketch").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("count"), F.min("id").alias("least"), F.max("id").alias("most")).where("count > 1")
-    counts = work.write("counts", counts)
-    hot = counts.where(F.col("count") >= HOT_COUNT).select("gram", "count").orderBy(F.desc("count"), "gram").limit(HOT_MOST).toPandas()
-    gram, often = hot["gram"].to_numpy(np.int64).view(np.uint64), hot["count"].to_numpy(np.int64)
-    order = np.argsort(gram)
-    rare = _rarest(sets, {"gram": gram[order], "count": often[order]})
-    grams = work.write("grams", rare.join(counts.drop("count"), "gram"))
-
-    sizes = sets.select("id", "n", "s1", "s2", "sketch")
-    links, labels = None, None
-    for k, pick in enumerate(("least", "most")):
-        at = grams if labels is None else _mixed(grams, labels, work, f"mixed{k}")
-        pairs = at.where(F.col("id") != F.col(pick)).select(F.least("id", pick).alias("a"), F.greatest("id", pick).alias("b")).distinct()
-        pairs = work.write(f"pairs{k}", _plausible(pairs, sizes, percent))
-        new = _verified(pairs, docs, n, percent, work, f"pivots{k}")
-        links = new if links is None else work.write(f"links{k}", links.union(new).distinct())
-        labels = components(links, work, f"classes{k}")
-    # Every other pair of sets with a gram in common and of different classes.
-    at = _mixed(grams, labels, work, "mixed_all").select("gram", "id", "n", "c")
-    step = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # of linked sets it differs by one at most
-    sketched = at.join(sets.select("id", "sketch"), "id").withColumn("step", step)
-    sketched = work.write("sketched", sketched)
-    x = sketched.select("gram", "step", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "c", "sketch")])
-    y = sketched.select("gram", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "sketch")])
-    close = (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (F.size(F.array_intersect("sketch_a", "sketch_b")) >= _need("n_a", "n_b"))
-    pairs = x.join(y, ["gram", "step"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & close)
-    pairs = work.write("pairs_all", pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct())
-    work.drop("sketched", "grams", "counts")
+    profile = work.write("profile", full.select("id", "n", "s1", "s2"))
+    work.drop("full")
+
+    each = sets.select("id", "n", F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("gram"))
+    several = work.write("shared", each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"))
+    grams = work.write("grams", each.join(several, "gram"))
+    work.drop("shared")
+    links = _pivot_links(sets, grams, docs, n, percent, work)
+    labels = components(links, work, "classes")
+    pairs = work.write("open_pairs", _open_pairs(grams, labels, docs, n, percent, work))
+    work.drop("grams", "prefix")
     if not pairs.isEmpty():
-        links = work.write("links_all", links.union(_verified(pairs, docs, n, percent, work, "all")).distinct())
-        labels = components(links, work, "classes_all")
+        links = work.write("links", links.union(_verified(pairs, docs, n, percent, work, "open")).distinct())
+        labels = components(links, work, "all_classes")
     # Back from sets to documents.
     named = work.write("named", sets.select("n", "s1", "s2", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("c", "id").alias("c")))
     work.drop("sets")
-    out = profile.select("id", "n", "s1", "s2").join(named, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
+    out = profile.join(named, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))
-
-
-def _need(a: str, b: str):
-    """Grams that the sketches of two linked sets share at least."""
-    return F.least(F.lit(SHARED), F.ceil(0.75 * F.greatest(a, b)))
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, na, nb): pairs whose sizes and sketches allow a link."""
-    a = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    b = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-    both = pairs.join(b, "b").join(a, "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return both.where(F.size(F.array_intersect("ka", "kb")) >= _need("na", "nb")).select("a", "b", "na", "nb")
-
-
-def _mixed(grams: DataFrame, labels: DataFrame, work: Tables, name: str) -> DataFrame:
-    """The rows of the grams whose sets are of several classes, with the class c."""
-    classed = work.write(f"{name}_classed", grams.join(labels.withColumnRenamed("v", "id"), "id", "left").withColumn("c", F.coalesce("c", "id")))
-    several = work.write(name, classed.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram"))
-    return classed.join(several, "gram", "left_semi")
