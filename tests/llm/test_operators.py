@@ -1,0 +1,323 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from strandex.llm import decontam, embeddings, html, jaccard, language, linededup, mixing, tokens, toxicity, urls, wordhash
+from strandex.llm.queries import URL_RULES
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def frame(spark, texts, sources=None):
+    """Documents with columns whose names clash with what operators add."""
+    rows = [(i, t, "en", (sources or {}).get(i, "s"), len(t or ""), 7, "x", 1.0) for i, t in texts.items()]
+    return spark.createDataFrame(rows, DOCS + ", size long, id string, score double")
+
+
+def words(rng, n, vocabulary=400):
+    return [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Copies, near copies in chains, a passage shared by many, odd and very long texts."""
+    rng = random.Random(7)
+    texts, base, passage = {}, words(rng, 130), " ".join(words(rng, 60))
+    for i in range(30):
+        near = list(base)
+        for _ in range(i % 6):
+            near[rng.randrange(len(near))] = "changed%d" % rng.randrange(9)
+        texts[i] = " ".join(near)
+    for i in range(30, 60):
+        texts[i] = " ".join(words(rng, 20 + i)) + ". " + passage + "\n" + " ".join(words(rng, 10))
+    for i in range(60, 75):
+        texts[i] = " ".join(words(rng, rng.randrange(1, 9), 6))
+    texts |= {75: None, 76: "", 77: " \n\t ", 78: "one", 79: "ONE", 80: "a b c d e", 81: "A b\tc  d\ne", 82: " ".join(words(rng, 30_000)), 83: passage, 84: passage.upper(), 85: "\x01 . ! x"}
+    texts[86] = texts[82] + " tail"
+    return texts
+
+
+def test_words_and_hashes_agree_with_patterns(corpus):
+    texts = [*corpus.values(), "É é\x00a,B-c 日本語 naïve", "x" * 70_000]
+    for separator, pattern in ((wordhash.WHITE, brute.WORDS), (wordhash.NOT_ALNUM, brute.LETTERS)):
+        seen = {}
+        for text, hashed in zip(texts, wordhash.documents(pa.array(texts), separator), strict=True):
+            plain = pattern.findall(brute.lower(text))
+            assert len(plain) == len(hashed)
+            assert all(seen.setdefault(w, h) == h for w, h in zip(plain, hashed.tolist()))
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_similar_sets(spark, corpus):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_sets(frame(spark, corpus)).collect()}
+    assert got == brute.similar(corpus)
+
+
+def test_similar_sets_without_pivots_find_chains(spark):
+    """Sets that link only over others, whatever set is the pivot."""
+    rng = random.Random(1)
+    texts, text = {}, words(rng, 100, 10**6)
+    for i in range(24):
+        texts[rng.randrange(10**6)] = " ".join(text)
+        text = [*text[7:], *words(rng, 7, 10**6)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_sets(frame(spark, texts)).collect()}
+    assert got == brute.similar(texts)
+
+
+def test_similar_sets_edges(spark):
+    empty = jaccard.similar_sets(frame(spark, {}).where("false"))
+    assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
+    df = spark.createDataFrame([(None, "a b c"), (3, "a b c"), (3, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_sets(df).collect()), key=repr)
+    assert got == sorted([(None, 1, None), (3, 1, 1), (3, 1, 1), (1, 1, 1), (None, 0, None)], key=repr)
+    with pytest.raises(ValueError):
+        jaccard.similar_sets(df, percent=50)
+
+
+def test_components_of_long_chains(spark):
+    from strandex.llm.runtime import Tables
+
+    links = [(i, i + 1) for i in range(0, 60, 2)] + [(i, i + 3) for i in range(1, 57, 2)] + [(100, 101), (100, 102)]
+    df = spark.createDataFrame(links, "a long, b long")
+    got = {r.v: r.c for r in jaccard.components(df, Tables(spark, "t"), "t").collect()}
+    nodes = {x for l in links for x in l}
+    assert got == brute.least_reachable(nodes, links)
+
+
+def test_leaks(spark, corpus, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate((40, 10, 9, 3, 1, 0, 25))] + [(7, None), (7, " ".join(corpus[30].split()[5:16])), (8, corpus[31].upper()), (9, "zz " * 30), (6, "w1 w2")]
+    texts = dict(corpus) | {200: "before " + items[0][1] + ", after", 201: items[2][1], 202: "zz " * 50, 203: " ".join(items[0][1].split()[:9])}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(texts, items)
+    for size in (decontam.BLOCK_BYTES, 400):  # in one block and in several
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.find_leaks(frame(spark, texts), bench).collect()}
+        assert got == want
+    assert decontam.find_leaks(frame(spark, texts), bench.where("false")).where("contaminated").count() == 0
+    assert decontam.find_leaks(frame(spark, texts).where("false"), bench).count() == 0
+
+
+def test_line_dedup(spark, corpus):
+    rng = random.Random(5)
+    line = lambda: " ".join(words(rng, 4)) + rng.choice(["\n", ". ", "! "])
+    shared = [line() for _ in range(6)]
+    texts = dict(corpus)
+    for i in range(300, 330):
+        texts[i] = line() + "".join(shared[i % 3 : 3 + i % 4]) + line()
+    texts |= {330: "a\n\n\n\n\n\nb", 331: "x\ny\nz\nx\ny\nz\nx\ny\nz", 332: "one\x01 two. three\nfour. five\n", 333: "one\x01 two. three\nfour. five\n"}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(frame(spark, texts)).collect()}
+    assert got == brute.dedup_lines(texts)
+
+
+def test_line_dedup_edges(spark):
+    df = spark.createDataFrame([(None, "a\nb\nc"), (1, "a\nb\nc"), (1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()), key=repr)
+    assert got == sorted([(None, "a\nb\nc", 0), (1, "a\nb\nc", 0), (1, "a\nb\nc", 0), (2, "", 3)], key=repr)
+    assert linededup.dedup_lines(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 5000, "c": 40, None: 900, "d": 7}, {"a": 3}, {"a": 0, "b": 0}, {"a": 10, "b": 10, "c": 10, "d": 10_000}, {None: 50, "": 60},
+])
+def test_mixing(spark, sizes):
+    rng = random.Random(2)
+    rows, k = [], 0
+    for s, total in sizes.items():
+        left = total
+        while left > 0 or not any(r[2] == s for r in rows):
+            n = min(left, rng.choice([0, 1, 3, 9]))
+            rows.append((k, " ".join(["w"] * n) or None, s))
+            left, k = left - n, k + 1
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix_sources(df).collect()
+    want, taken = brute.targets(sizes), dict.fromkeys(sizes, 0)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and r.taken in (0, r["size"], 2 * r["size"])
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - want[s]) <= 9 for s in sizes)
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, mixing.mix_sources(df.repartition(3)).collect()), key=repr)
+
+
+def test_mixing_edges(spark):
+    assert mixing.mix_sources(frame(spark, {}).where("false")).count() == 0
+    df = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (4, "c", "x")], "doc_id long, text string, source string")
+    assert {r.taken for r in mixing.mix_sources(df).where("doc_id is null").collect()} <= {2, 4}
+
+
+def test_token_counts(spark, corpus):
+    sentencepiece, P = pytest.importorskip("sentencepiece"), pytest.importorskip("public_tokenizers")
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rng = random.Random(1)
+    texts = dict(corpus) | {300 + i: "".join(rng.choice("ab  ▁\né<s>日") for _ in range(rng.randrange(1, 60))) for i in range(300)}
+    texts |= {700: "z" * 70_000, 701: " " * 66_000 + "q", 702: ("word " * 30_000).strip(), 703: "<s> </s> <unk> <0x0A>", 704: "a ", 705: " a"}
+    got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in tokens.count_tokens(frame(spark, texts), P.path("piece_bpe_32k.model")).collect()}
+    assert got == {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in texts.items()}
+
+
+def test_chunks_are_spliced_at_stable_boundaries():
+    text = " ".join("x" * (k % 50 + 1) for k in range(900))
+    marks = lambda t: [0] + [i for i, c in enumerate(t) if c == " "]
+    parts = list(tokens.chunks(text, marks, lambda t, i: t[i] == " ", chunk=200, overlap=8))
+    assert " ".join(parts) == text and len(parts) > 50  # overlaps of 8 are widened over words of 50
+
+
+@pytest.mark.parametrize("tile", [8, 2048])
+def test_near_vectors(spark, tile):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(12, 16))
+    vectors = {i: (base[i % 12] + rng.normal(size=16) * 0.18).tolist() for i in range(90)}
+    vectors |= {100: None, 101: [], 102: [0.0] * 16, 103: [float("nan")] + [1.0] * 15, 104: [None] + [1.0] * 15, 105: [float("inf")] * 16, 106: vectors[3], 107: vectors[3], 108: [2 * x for x in vectors[3]], 109: [1.0, 2.0], 110: [2.0, 4.0], 111: [1e200] * 16, 112: [1e-200] * 16, 113: [-1.0] * 16}
+    rows = [(i, v, i % 3, "x") for i, v in vectors.items()]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, weight string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(df, tile=tile).collect()}
+    want = brute.near({i: v if i not in (111, 112) else [1.0] * 16 for i, v in vectors.items()})
+    assert got == want and sum(n for n, _ in want.values()) > 100
+
+
+def test_near_vectors_edges(spark):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, embeddings.near_vectors(df).collect()), key=repr)
+    assert got == sorted([(None, 0, None, False), (5, 1, 5, True), (5, 1, 5, True), (7, 0, 7, True)], key=repr)
+    assert embeddings.near_vectors(df.where("false")).count() == 0
+
+
+def test_early_stop_loses_no_pair():
+    rng = np.random.default_rng(5)
+    a = rng.normal(size=(80, 20)) * np.linspace(2, 0.1, 20)
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    for t in (0.3, 0.8, 0.95):
+        i, j = embeddings.linked(a, a, t, step=3)
+        want = {(x, y) for x, y in zip(*np.nonzero(a @ a.T >= t))}
+        assert want <= set(zip(i.tolist(), j.tolist()))
+
+
+PAGES = {
+    "": "",
+    "<p>a &amp; b<p>c\n  d": "a & b\nc d",
+    "<html><head><title>T</title></head><body><nav><a>Menu</a></nav><article><h1>Head</h1><p>One, two. Three.</p><ul><li>x<li>y</ul><script>var p='</p>';</script></article><footer>F</footer></body></html>": "Head\nOne, two. Three.\nx\ny",
+    "<div class='cookie-notice'><p>We use cookies, fine. Yes, all.</p></div><article><p>A, b.</p><section class=comments><p>No, never. Ever.</p></section></article>": "A, b.",
+    "<body><div id=content><h1>T</h1><p>Long text here, with marks. And more.</p><p>x</p></div><div class=sidebar><p>Side, text.</p></div><form><p>f</p></form></body>": "T\nLong text here, with marks. And more.\nx",
+    "<main><header><h1>Title</h1></header><article><p>Hello <b>wor</b>ld,&nbsp; it is.</p><article><p>A comment, here.</p></article></article></main>": "Hello world, it is.",
+    "<nav><ul><li>only a menu</li></ul></nav>": "",
+    "<p>unclosed <b>bold<p>next <!-- no --> one": "unclosed bold\nnext one",
+}
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_main_text(page):
+    assert html.main_text(page) == PAGES[page]
+
+
+def test_extract_rows(spark):
+    df = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>é &lt; x</p>", "t"), (1, "u", "<p>q</p>" * 5000, "t")], "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id, r.url, r.n_chars, len(r.text)) for r in html.extract(df).collect()), key=repr)
+    assert got == sorted([(1, None, 0, 0), (None, "u", 5, 5), (1, "u", 9999, 9999)], key=repr)
+    assert html.extract(df.where("false")).count() == 0
+
+
+def test_url_rules_and_trees(spark):
+    urls_ = ["http://Example.COM/en/7?x", "https://a.example.com/en/8", "http://notcom/en/1", "http://b.net/de/1#z", "http://example.net/de/80", "http://x.org/es/", "http://x.org/ES/", "no scheme", None, "", "http://", "ftp://com?/en/", "http://u.com:80/en/"]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls_)], "page_id long, url string, host string")
+    out = {r.page_id: r for r in urls.judge(df, URL_RULES, urls.Trees()).collect()}
+    assert [(out[i].rule, out[i].verdict) for i in range(7)] == [("example.com/en/7", "allow"), ("com/en/", "block"), (None, "block"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "block")]
+    assert [(out[i].host, out[i].path) for i in (0, 3, 7, 8, 9, 10, 11, 12)] == [("example.com", "/en/7"), ("b.net", "/de/1"), ("", ""), ("", ""), ("", ""), ("", ""), ("com", ""), ("u.com:80", "/en/")]
+    rng = random.Random(0)
+    bad = [f"http://{''.join(rng.choice('0123456789ab') for _ in range(20))}.biz/p?a={i}&b=2&c=3" for i in range(150)]
+    good = [f"https://site{rng.choice('abcdef')}.org/page/{rng.choice(['about', 'news', 'blog'])}" for _ in range(150)]
+    labelled = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good] + [(None, True), ("x", None)], "url string, block boolean")
+    model = urls.fit_trees(labelled)
+    judged = urls.judge(labelled.where("url is not null and block is not null"), (), model)
+    assert judged.where("(verdict = 'block') <> block").count() <= 3
+    again = urls.fit_trees(labelled.repartition(5))
+    assert again.trees == model.trees and again.cuts == model.cuts
+    assert judged.where("false").count() == 0 and "Python" not in judged._jdf.queryExecution().toString()
+
+
+def test_segments_are_all_maximal():
+    def plain(w):
+        """By definition: disjoint, each of the best score around it, by recursion on the best segment."""
+        best = max(((sum(w[i:j]), -(j - i), i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=None)
+        if best is None or best[0] <= 0:
+            return []
+        _, _, i, j = best
+        return plain(w[:i]) + [(i, j)] + [(a + j, b + j) for a, b in plain(w[j:])]
+
+    rng = random.Random(4)
+    for _ in range(200):
+        w = [rng.choice([-3.1, -1.3, -0.45, 0.7, 1.9, 3.3]) + rng.random() * 1e-3 for _ in range(rng.randrange(0, 14))]
+        assert [(a, b) for a, b, _ in toxicity.segments(np.array(w))] == plain(w)
+
+
+def test_toxicity_learns_words_and_stems(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(600):
+        w, bad = words(rng, 60), i % 5 == 0
+        for _ in range(4 if bad else 0):
+            w[rng.randrange(60)] = rng.choice(["grumble", "vexor" + rng.choice("abcdefgh") * 2])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    rows += [(1000, None), (1001, ""), (1002, "grumble vexorqq grumble"), (None, "plain words"), (1003, "w1 " * 20_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = toxicity.fit_toxicity(docs.where("doc_id % 4 <> 2 or doc_id > 900"), spark.createDataFrame([*labels, (None, 1), (5, None)], "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_texts(docs, scorer).collect()}
+    held = [i for i in range(600) if i % 4 == 2]
+    assert sum(got[i].predicted != (i % 5 == 0) for i in held) <= 2
+    assert got[1002].predicted == 1 and [got[i].predicted for i in (1000, 1001, None, 1003)] == [0] * 4 and all(0 <= r.score <= 1 for r in got.values())
+    start, end = got[1002].passages[0].start, got[1002].passages[0].end
+    assert "grumble vexorqq grumble".encode()[start:end] == b"grumble vexorqq grumble"
+    nothing = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score_texts(docs, nothing).where("score is null").count() == 0
+
+
+def test_copies_do_not_make_rare_words_significant(spark):
+    rng = random.Random(8)
+    copy = " ".join(f"rare{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, copy if i < 80 else " ".join(words(rng, 40))) for i in range(500)], "doc_id long, text string")
+    scorer = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, int(i < 80)) for i in range(500)], "doc_id long, toxic int"))
+    assert len(scorer.tokens) == 0
+
+
+def test_language_spans(spark):
+    rng = random.Random(9)
+    vocabulary = {"aa": ["the", "with", "house", "night", "water"], "bb": ["über", "nacht", "wasser", "häuser", "und"], "ru": ["дом", "ночь", "вода", "это"]}
+    text = lambda l, n: " ".join(rng.choice(vocabulary[l]) for _ in range(n))
+    train = spark.createDataFrame([(text(l, 60), l) for l in vocabulary for _ in range(20)] + [(None, "aa"), ("x", None), ("", "bb")], "text string, lang string")
+    model = language.fit_languages(train)
+    assert model.langs == ["aa", "bb", "ru"]
+    mixed = text("aa", 12) + " " + text("bb", 30)
+    rows = [(1, text("aa", 30)), (2, text("bb", 3)), (3, text("ru", 9)), (4, mixed), (5, None), (6, ""), (7, "123 !?"), (8, text("bb", 20_000)), (None, "the water"), (9, "日本")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language.identify(docs, model, with_spans=True).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, 6, 7, 8, None)] == ["aa", "bb", "ru", "bb", "und", "und", "und", "bb", "aa"]
+    assert got[9].lang_pred in model.langs and all(0 <= r.score <= 1 for r in got.values())
+    assert [s.lang for s in got[4].spans] == ["aa", "bb"] and mixed.encode()[got[4].spans[1].start :].decode().split()[0] in vocabulary["bb"]
+    none = language.fit_languages(train.where("false"))
+    assert {r.lang_pred for r in language.identify(docs, none).collect()} == {"und"}
+
+
+def test_viterbi_matches_the_plain_recursion():
+    rng = np.random.default_rng(3)
+    lengths = [0, 1, 7, 30, 12, 0, 30]
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    e = rng.normal(size=(first[-1], 3)).astype(np.float32) * 3
+    got = language.viterbi(e, first, penalty=2.0)
+    for a, b in zip(first[:-1], first[1:]):
+        if b == a:
+            continue
+        score, back = e[a].astype(float), []
+        for t in range(a + 1, b):
+            move = score[:, None] - 2.0 * (1 - np.eye(3))
+            back.append(move.argmax(axis=0))
+            score = move.max(axis=0) + e[t]
+        best = [int(score.argmax())]
+        for k in reversed(back):
+            best.append(int(k[best[-1]]))
+        value = lambda p: sum(e[a + i][x] for i, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:]))
+        assert value(got[a:b].tolist()) == pytest.approx(value(best[::-1]), abs=1e-3)
