@@ -75,11 +75,22 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 def _exploded(docs: DataFrame, n: int) -> DataFrame:
     """(id, gram) of the whole sets."""
 
+    def rows(ids, parts):
+        of = np.repeat(np.array(ids, np.int64), [len(x) for x in parts])
+        gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(gram.view(np.int64))], names=["id", "gram"])
+
     def run(batches):
         for batch in batches:
+            ids, parts, held = [], [], 0
             for doc, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n)):
-                if len(grams):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), doc, np.int64)), pa.array(grams.view(np.int64))], names=["id", "gram"])
+                ids.append(doc)
+                parts.append(grams)
+                held += len(grams)
+                if held > 100_000:
+                    yield rows(ids, parts)
+                    ids, parts, held = [], [], 0
+            yield rows(ids, parts)
 
     return docs.mapInArrow(run, "id long, gram long")
 
