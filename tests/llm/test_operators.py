@@ -145,6 +145,9 @@ def test_mixing(spark, sizes):
 
 
 def test_mixing_edges(spark):
+    clash = spark.createDataFrame([(1, "a b", "x", 5, "y", 3, 2)], "doc_id long, text string, source string, copies int, bucket string, last_key int, size int")
+    r = mixing.mix_sources(clash).first()
+    assert (r.copies, r.bucket, r.last_key, r["size"], r.source_size) == (5, "y", 3, 2, 2)
     assert mixing.mix_sources(frame(spark, {}).where("false")).count() == 0
     df = spark.createDataFrame([(None, "a b", "x"), (None, "a b", "x"), (4, "c", "x")], "doc_id long, text string, source string")
     assert {r.taken for r in mixing.mix_sources(df).where("doc_id is null").collect()} <= {2, 4}
