@@ -9,14 +9,14 @@ summed per pair. What remains is to verify few pairs, and still all that can mat
    If two sets link, every n-gram of their union is shared with a probability of 3/4 or more,
    independently of the order; they share fewer than SHARED of the sketch in less than 1e-12 of all
    links (in none if the sets are taken whole).
-3. Each n-gram of the sketches has a pivot: of the sets that hold it, the one most of whose sketch
-   other sets hold too, the middle of a group of near copies. Sets are compared with pivots only,
+3. Each n-gram of the sketches has a pivot: of the sets that hold it, the one whose sketch is held
+   most by other sets too, the middle of a group of near copies. Sets are compared with pivots only,
    and links make classes. A group costs one pair per member, not one per pair.
 4. Sets that share SHARED sketch n-grams with sets of other classes stay open. For these alone the
    whole sets are looked at, by the exact prefix principle: n-grams that no other class holds come
    first, then the rarest, and linked sets must meet in the first n - ceil(3/4 n) + 1 of them.
-   Pairs of different classes that meet, and whose sizes and counts of n-grams held by other classes
-   allow a link, are verified like the others. This finds every link between classes, so that the
+   Pairs of different classes that meet, and whose sizes, counts of n-grams held by other classes and
+   places of the shared n-gram allow a link, are verified like the others. This finds every link between classes, so that the
    classes are exact whatever the pivots were.
 """
 
@@ -34,6 +34,8 @@ FRAGMENTS = 8
 #: Sketch n-grams that a set shares with a pivot to be compared with it (fewer if the sketch is small).
 #: Of no effect on the result, as step 4 is exact.
 WITH_PIVOT = 4
+#: Prefix n-grams before a shared one that are looked at, so that a pair with several of them meets mostly once.
+BEFORE = 12
 #: Ids broadcast to the texts at most (8 bytes each).
 BROADCAST_IDS = 4_000_000
 
@@ -180,9 +182,9 @@ def _fits(a: str, b: str, percent: int):
 
 def _pivot_links(sets: DataFrame, grams: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables) -> DataFrame:
     """Links between sets and pivots (step 3)."""
-    held = grams.groupBy("id").agg(F.count(F.lit(1)).alias("held"))
-    scored = grams.join(held, "id").withColumn("share", F.col("held") / F.col("size"))
-    pivots = work.write("pivots", scored.groupBy("gram").agg(F.max(F.struct("share", (-F.col("id")).alias("k"), "n")).alias("p")).select("gram", (-F.col("p.k")).alias("pivot"), F.col("p.n").alias("np")))
+    middle = grams.groupBy("id").agg((F.sum(F.log2("k")) / F.max("size")).alias("score"))
+    scored = grams.join(middle, "id")
+    pivots = work.write("pivots", scored.groupBy("gram").agg(F.max(F.struct("score", (-F.col("id")).alias("least"), "n")).alias("p")).select("gram", (-F.col("p.least")).alias("pivot"), F.col("p.n").alias("np")))
     met = grams.join(pivots, "gram").where((F.col("id") != F.col("pivot")) & _fits("n", "np", percent))
     pairs = met.groupBy("id", "pivot", "n", "np", "size").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= F.least(F.lit(WITH_PIVOT), F.ceil(F.col("size") / 4)))
     first = F.col("id") < F.col("pivot")
@@ -212,16 +214,22 @@ def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, pe
     own = whole.join(mixed, "gram").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("held"))
     # n - e n-grams come before these e; of the prefix, so many are left for these.
     left = F.size("held") - _need("n", percent) + 1
-    prefix = own.where(left > 0).select("id", "n", "c", F.size("held").alias("e"), F.explode(F.slice("held", F.lit(1), left.cast("int"))).alias("g"))
-    step = F.floor(F.log("n") / float(np.log(100 / percent))).cast("int")  # differs by one at most between linked sets
-    prefix = work.write("prefix", prefix.select("id", "n", "c", "e", F.col("g.gram").alias("gram"), step.alias("step")))
+    heads = own.where(left > 0).select("id", "n", "c", F.size("held").alias("e"), F.transform(F.slice("held", F.lit(1), left.cast("int")), lambda x: x["gram"]).alias("head"))
+    place = lambda g, i: F.struct(g.alias("gram"), i.alias("at"), F.slice("head", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before"))
+    prefix = work.write("prefix", heads.select("id", "n", "c", "e", F.explode(F.transform("head", place)).alias("g")).select("id", "n", "c", "e", "g.*"))
     work.drop("whole", "mixed")
-    x = prefix.select("gram", "step", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "c", "e")])
-    y = prefix.select("gram", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"), *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "c", "e")])
-    most = F.least("e_a", "e_b")  # of the overlap
+    return _meetings(prefix, percent).distinct()
+
+
+def _meetings(prefix: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different classes with a prefix n-gram in common whose overlap can be large enough:
+    at most what both have before the n-gram, it, and what both have after it."""
+    x, y = (prefix.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "c", "e", "at", "before")]) for k in "ab")
+    most = 1 + F.least("at_a", "at_b") + F.least(F.col("e_a") - F.col("at_a"), F.col("e_b") - F.col("at_b")) - 1
     fits = _fits("n_a", "n_b", percent) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    met = x.join(y, ["gram", "step"]).where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
+    first = ~F.arrays_overlap("before_a", "before_b")  # else the pair meets on the n-gram before, too
+    met = x.join(y, "gram").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits & first)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
 
 
 def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +252,7 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     work.drop("full")
 
     each = sets.select("id", "n", F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("gram"))
-    several = work.write("shared", each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"))
+    several = work.write("shared", each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     grams = work.write("grams", each.join(several, "gram"))
     work.drop("shared")
     links = _pivot_links(sets, grams, docs, n, percent, work)
