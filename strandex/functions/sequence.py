@@ -48,6 +48,16 @@ def split_tokens(text: Column) -> Column:
     return F.filter(F.split(F.replace(text, F.lit("|"), F.lit(" [SEP] ")), r"\s+"), lambda x: x != "")
 
 
+def with_separator(ids: Column, separator: int, second: Column | None = None) -> Column:
+    """A sequence, or two, each followed by a separator."""
+    one = F.concat(ids, F.array(F.lit(separator)))
+    return one if second is None else F.concat(one, second, F.array(F.lit(separator)))
+
+
+def separator_mask(ids: Column, separator: int) -> Column:
+    return F.transform(ids, lambda x: (x == separator).cast("int"))
+
+
 def padding_mask(ids: Column) -> Column:
     return F.transform(ids, lambda x: (x == PAD).cast("int"))
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,6 +18,30 @@ Tracks = dict[str, np.ndarray]
 Model = Callable[[np.ndarray], Tracks]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """What a packaged model takes: greatest length, a multiple, least length, sequences of a batch."""
+
+    longest: int = sequence.LIMIT
+    multiple: int = sequence.MULTIPLE
+    least: int = sequence.LEAST
+    batch: int = 32
+
+    def status(self, length: int, batch: int = 1) -> str:
+        return "too_long" if length > self.longest else "too_many" if batch > self.batch else "ok"
+
+
+def limits(file_name: str) -> Limits:
+    """From the name of a package: ..._dyn_a100... takes any length, ..._L<n>_... one length only."""
+    if "_dyn_a100" in file_name:
+        return Limits()
+    fixed = re.search(r"_L(\d+)_", file_name)
+    if not fixed:
+        raise ValueError(f"{file_name}: no length in the name")
+    n = int(fixed[1])
+    return Limits(n, n, n, 32)
+
+
 def stub_model(ids: np.ndarray, channels: Sequence[tuple[str, int]] = (("cage", 2), ("dnase", 1), ("atac", 1), ("rna_seq", 3))) -> Tracks:
     """A deterministic stand-in: channel c of a track is ids * (c + 1) modulo 7, by track."""
     return {name: np.stack([(ids * (c + 1) + k) % 7 for c in range(n)], axis=2).astype(np.float32) for k, (name, n) in enumerate(channels)}

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandex.functions.models import parse_setting, parse_tests
-from strandex.operators import cohort, fdr, grouped
+from strandex.operators import cohort, extract, fdr, grouped
 from strandex.sources import sinks, tables
 
 
@@ -33,12 +34,7 @@ def run(spark: SparkSession, out: str, genes: DataFrame, features: DataFrame, pe
     """Tests this rank's pending genes and appends their rows to <out>/results."""
     manifest = {"settings": list(settings), "tests": tests, "cell_settings": list(cell_settings), "options": {k: list(v) if isinstance(v, tuple) else v for k, v in options.items()}, "genes": genes.count(), "version": 1}
     sinks.write_manifest(spark, f"{out}/run_manifest.json", manifest)
-    try:
-        done = spark.read.parquet(f"{out}/results")
-    except Exception as error:  # nothing written so far
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        done = None
+    done = _read_or_none(spark, f"{out}/results")
     todo = pending(cohort.shard(genes, rank, world, "ordinal"), done, overwrite)
     chosen = features.join(cohort.small(todo.select("gene_id")), "gene_id", "left_semi")
     rows = grouped.associate(chosen, people, [parse_setting(s) for s in settings], parse_tests(tests), cell=cell, cell_settings=[parse_setting(s) for s in cell_settings], **options)
@@ -52,14 +48,39 @@ def merge(spark: SparkSession, out: str, genes: DataFrame, partial: bool = False
     sinks.write_tsv(missing, f"{out}/missing_genes", "gene_id")
 
 
+def extract_embeddings(spark: SparkSession, out: str, genes: DataFrame, sequences: DataFrame, make_model=None, rank: int = 0, world: int = 1, overwrite: bool = False) -> DataFrame:
+    """Embeds this rank's pending genes into <out>/embeddings; returns the genes without sequences."""
+    done = _read_or_none(spark, f"{out}/embeddings")
+    todo = pending(cohort.shard(genes, rank, world, "ordinal"), done, overwrite)
+    rows = extract.embed(sequences.join(cohort.small(todo.select("gene_id")), "gene_id", "left_semi"), make_model)
+    sinks.write_results(rows, f"{out}/embeddings", overwrite=overwrite)
+    return todo.select("gene_id").join(sequences.select("gene_id").distinct(), "gene_id", "left_anti")
+
+
+def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except Exception as error:  # nothing written so far
+        if not any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")):
+            raise
+        return None
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="strandex")
     sub = top.add_subparsers(dest="command", required=True)
-    for name in ("run", "merge"):
+    for name in ("run", "merge", "extract"):
         p = sub.add_parser(name)
         p.add_argument("--genes", required=True)
         p.add_argument("--out", required=True)
         p.add_argument("--partial", action="store_true")
+        if name == "extract":
+            p.add_argument("--sequences", required=True, help="Parquet: gene_id, ref_seq, haplotypes, participant_id")
+            p.add_argument("--model", help="module:function that returns the model; a deterministic stand-in without it")
+        if name != "merge":
+            p.add_argument("--rank", type=int, default=0)
+            p.add_argument("--world", type=int, default=1)
+            p.add_argument("--overwrite", action="store_true")
         if name == "run":
             p.add_argument("--features", required=True, help="Parquet: gene_id, embed_type, participant_id, vector")
             p.add_argument("--cohort", required=True)
@@ -68,9 +89,6 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--sex", default="All", choices=("All", "F", "M"))
             p.add_argument("--pca", default="fixed:50", help="comma-separated settings")
             p.add_argument("--tests", default="F")
-            p.add_argument("--rank", type=int, default=0)
-            p.add_argument("--world", type=int, default=1)
-            p.add_argument("--overwrite", action="store_true")
     return top
 
 
@@ -80,6 +98,11 @@ def main(argv: Sequence[str] | None = None) -> None:
     genes = tables.read_ids(spark, args.genes)
     if args.command == "merge":
         return merge(spark, args.out, genes, args.partial)
+    if args.command == "extract":
+        module, _, function = (args.model or "").partition(":")
+        make = getattr(importlib.import_module(module), function) if module else None
+        absent = extract_embeddings(spark, args.out, genes, tables.sequences(spark.read.parquet(args.sequences)), make, args.rank, args.world, args.overwrite)
+        return print(f"{absent.count()} genes have no sequences")
     names = [c for c in args.covariates.split(",") if c]
     raw = spark.read.option("header", True).option("sep", "\t").csv(args.cohort)
     people = cohort.read_cohort(raw, args.label, names, args.sex).withColumnRenamed(args.label, "label")

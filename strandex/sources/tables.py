@@ -82,6 +82,38 @@ def long_embeddings(df: DataFrame, names: Sequence[str], id_col: str | None = No
     return df.select("gene_id", subject.alias("participant_id"), each.alias("e")).select("gene_id", "e.embed_type", "participant_id", "e.vector")
 
 
+def repeated_features(df: DataFrame) -> DataFrame:
+    """Genes whose features come from more than one file: a gene has one place, or the result is undefined."""
+    return df.select("gene_id", F.input_file_name().alias("file")).distinct().groupBy("gene_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """gene_id (the file's name), participant_id, field, vector of .npz files of matrices, without pickles.
+
+    Files are read where they lie, each by one task, row by row. Ids come from the first id field;
+    numeric matrices with as many rows are fields, others are left out.
+    """
+    import io
+
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                gene = name.rsplit("/", 1)[-1].removesuffix(".npz")
+                with np.load(io.BytesIO(content), allow_pickle=False) as data:
+                    key = pick(data.files, EMBEDDING_KEYS)
+                    ids = [str(x).split("_")[0] if key.startswith("subject") else str(x) for x in data[key].reshape(-1)]
+                    for field in data.files:
+                        x = data[field]
+                        if field != key and x.ndim == 2 and len(x) == len(ids) and x.shape[1] and x.dtype.kind in "fiu":
+                            yield pd.DataFrame({"gene_id": gene, "participant_id": [int(i) for i in ids], "field": field, "vector": x.astype(np.float64).tolist()})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    return files.mapInPandas(run, "gene_id string, participant_id long, field string, vector array<double>")
+
+
 def result_lists(spark: SparkSession, path: str) -> DataFrame:
     """Rows of all <trait>_extreme[_F|_M].tsv below a folder, with trait and stratum from the file name.
     The p column may be named p_F or p_F_analytic."""

@@ -173,3 +173,27 @@ def test_streamed_means_equal_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert rows(spark.table("means"), "user_id", "start") == rows(samples.windowed_means(batch), "user_id", "start")
+
+
+def test_extract_command_and_npz(spark, tmp_path):
+    df = spark.createDataFrame([("g", "1_x", "ATCG", "AT", "AC"), ("h", "2", "A", "A", "A")], "gene_id string, participant_id string, ref_seq string, mutated_seq_1 string, variant_seq string")
+    df.write.parquet(f"{tmp_path}/seq")
+    (tmp_path / "genes.tsv").write_text("gene_id\ng\nh\nabsent\n")
+    for _ in range(2):  # the second time nothing is pending
+        lifecycle.main(["extract", "--genes", str(tmp_path / "genes.tsv"), "--out", f"file://{tmp_path}/out", "--sequences", f"{tmp_path}/seq"])
+    out = spark.read.parquet(f"{tmp_path}/out/embeddings")
+    assert out.count() == 16 and {r.gene_id for r in out.collect()} == {"g", "h"}
+    (tmp_path / "npz").mkdir()
+    np.savez(tmp_path / "npz" / "g.npz", subject_ids=np.array(["7_a", "8_b"]), concat_cage_mean=np.ones((2, 4)), note=np.array(["x"]))
+    got = tables.read_npz(spark, str(tmp_path / "npz"))
+    assert rows(got, "participant_id") == [("g", 7, "concat_cage_mean", [1.0] * 4), ("g", 8, "concat_cage_mean", [1.0] * 4)]
+    assert tables.repeated_features(out).count() == 0
+
+
+def test_model_limits_and_separators(spark):
+    assert extract.limits("x_dyn_a100.pt2") == extract.Limits() and extract.limits("m_L8192_b8.pt2").longest == 8192
+    assert extract.Limits().status(128_001) == "too_long" and extract.Limits().status(1, 33) == "too_many"
+    with pytest.raises(ValueError):
+        extract.limits("m.pt2")
+    one = spark.range(1).select(sequence.with_separator(F.array(F.lit(1)), 9, F.array(F.lit(2))).alias("i"))
+    assert one.select("i", sequence.separator_mask(F.col("i"), 9)).first()[:] == ([1, 9, 2, 9], [0, 1, 0, 1])
