@@ -88,11 +88,12 @@ def _without_copies(train: DataFrame) -> DataFrame:
 
 def _log_odds(counts: DataFrame) -> DataFrame:
     """(token, weight, z) of the significant tokens."""
-    totals = counts.agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0"))
-    at = counts.where(F.col("toxic") + F.col("other") >= 5).crossJoin(F.broadcast(totals))  # totals is one row
-    prior = F.greatest(F.lit(FLOOR), PRIOR * (F.col("toxic") + F.col("other")) / (F.col("n1") + F.col("n0")))
+    total = counts.agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0")).first()
+    n1, n0 = float(total["n1"] or 0), float(total["n0"] or 0)
+    at = counts.where(F.col("toxic") + F.col("other") >= 5)
+    prior = F.greatest(F.lit(FLOOR), PRIOR * (F.col("toxic") + F.col("other")) / (n1 + n0 + 1))
     side = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
-    weight = side(F.col("toxic"), F.col("n1")) - side(F.col("other"), F.col("n0"))
+    weight = side(F.col("toxic"), n1) - side(F.col("other"), n0)
     at = at.withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)))
     return at.where(F.abs("z") >= LEAST_Z).select("token", "weight", "z").orderBy(F.desc(F.abs("z")), "token").limit(MOST_TOKENS)
 
@@ -210,7 +211,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         marks = F.broadcast(marks)
     train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("id", "text", "toxic")
     train = _without_copies(train)
-    kept = _log_odds(_presence(train)).collect()
+    kept = _log_odds(Tables(spark, "toxicity").write("counts", _presence(train))).collect()
     scorer = Scorer(np.array([r["token"] for r in kept], np.int64).view(np.uint64), np.array([r["weight"] for r in kept], float))
     rows = _rows(train, spark.sparkContext.broadcast(scorer))
     clean = rows.where(~F.col("toxic"))
