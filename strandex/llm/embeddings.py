@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame, functions as F
 from strandex.llm.jaccard import components
 from strandex.llm.runtime import Tables
 
-#: Vectors of a tile, about; rows of a tile taken at once; dimensions added between two bounds.
-TILE, ROWS, STEP = 2048, 256, 8
+#: Vectors of a tile, about, and numbers in it at most: each vector is sent once to every tile that it
+#: may meet, so that tiles are as large as a task can well hold. Rows of a tile taken at once;
+#: dimensions added between two bounds.
+TILE, NUMBERS, ROWS, STEP = 8192, 1 << 22, 256, 8
 #: Vectors that the splits between tiles are taken from (only their cut points depend on it).
 SAMPLE = 1 << 14
 #: Axes whose ranges bound a tile.
@@ -177,8 +179,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     counts, forests = [], []
     for size in [r[0] for r in same.select(F.size("vector").alias("d")).distinct().collect()]:
         of = same.where(F.size("vector") == size)
-        n, parts = of.count(), 1
-        while parts * tile < n:
+        n, parts, most = of.count(), 1, max(1, min(tile, NUMBERS // size))
+        while parts * most < n:
             parts *= 2
         axes = spark.sparkContext.broadcast(_axes(of))
         stride = -(-n // SAMPLE)
@@ -196,7 +198,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{n_}{c}") for c in lead for n_, f in (("low_", F.min), ("high_", F.max))]).orderBy("leaf").collect()
         low = np.array([[b[f"low_{c}"] for c in lead] for b in boxes])
         high = np.array([[b[f"high_{c}"] for c in lead] for b in boxes])
-        pieces, first = [-(-b["m"] // tile) for b in boxes], [0]
+        pieces, first = [-(-b["m"] // most) for b in boxes], [0]
         for p in pieces:
             first.append(first[-1] + p)
         meets = []  # (leaf, piece) -> the pairs (tile, tile) it is part of
