@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from strandex.llm.runtime import Tables
+from strandex.llm.runtime import Tables, settled
 
 #: Cut points: zero-width, so that the lines of a text joined give the text.
 LINE_END = r"(?<=\n)|(?<=[.!?] )"
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n_removed = F.when(F.col("_kept").isNull(), F.lit(0)).otherwise(F.size("_lines") - F.size("_kept")).cast("long")
     text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(F.col("_kept"), lambda i: F.get("_lines", i)), ""))
     keep = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], n_lines.alias("n_lines"), n_removed.alias("n_removed"))
+    return settled(out.select(*[text.alias(c) if c == text_col else F.col(c) for c in keep], n_lines.alias("n_lines"), n_removed.alias("n_removed")))
 
 
 SQL = r"""

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandex.llm.runtime import Tables
+from strandex.llm.runtime import Tables, settled
 
 #: Bits of the hash that each level looks at; 36 bits in all.
 LEVELS = (12, 12, 12)
@@ -93,7 +93,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     found = small(found.select(F.col("source").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies"), F.col("last_key").alias("_last")))
     out = docs.drop(*new).withColumn("size", words_in(f"`{text_col}`")).withColumn("_key", keys).join(found, F.col(source_col).eqNullSafe(F.col("_s")), "left")
     copies = F.col("_copies") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
-    return out.select(*[F.col(c) for c in docs.columns if c not in new], "size", F.col("_size").cast("long").alias("source_size"), F.coalesce(F.col("_target"), F.lit(0.0)).cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken"))
+    return settled(out.select(*[F.col(c) for c in docs.columns if c not in new], "size", F.col("_size").cast("long").alias("source_size"), F.coalesce(F.col("_target"), F.lit(0.0)).cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken")))
 
 
 SQL = r"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN_ROOT: dict[str, str] = {}
 
@@ -40,5 +40,11 @@ class Tables:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row: a caller's filter on its columns stays above. Pushed below, a
+    filter would evaluate costly expressions again, once for each reference to them."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
