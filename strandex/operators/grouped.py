@@ -8,7 +8,6 @@ by the group's key; a group must fit one worker (participants x features doubles
 from __future__ import annotations
 
 import hashlib
-import os
 from collections import OrderedDict
 from collections.abc import Sequence
 
@@ -132,7 +131,6 @@ def associate(features: DataFrame, cohort: DataFrame, settings: Sequence[models.
     options = (list(covariates), list(settings), list(cell_settings), list(tests), trait, sex, expected, max_iter, tol)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        os.environ.setdefault("OMP_NUM_THREADS", "1")
         rows = test_group(frame, *options)
         return pd.DataFrame([[r.get(c) for c in _COLUMNS] for r in rows], columns=_COLUMNS, dtype=object)
 
