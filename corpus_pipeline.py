@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandex.llm import decontam, jaccard, linededup, mixing, toxicity
+from strandex.llm import decontam, jaccard, linededup, mixing, passages, toxicity
 from strandex.llm.runtime import Tables, read
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,8 +26,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which nothing is left go; those that were empty before stay."""
-    cleaned = linededup.dedup_lines(docs)
+    """Repeated lines go, then the repeated passages of 50 words that lines don't show. Documents of which
+    nothing is left go; those that were empty before stay."""
+    cleaned = passages.dedup_passages(Tables(spark, "stage2").write("lines", linededup.dedup_lines(docs)))
+    cleaned = cleaned.withColumn("n_removed", F.col("n_removed") + F.col("n_words_removed"))
     gone = (F.col("n_removed") > 0) & (F.trim(F.translate("text", "\n\r\t", "   ")) == "")
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cleaned.where(~F.coalesce(gone, F.lit(False))).withColumn("n_chars", n_chars).select(*COLUMNS)

@@ -1,0 +1,121 @@
+"""Removal of repeated passages by words, whatever the lines are.
+
+Every run of SPAN words is a window. The first occurrence of a window, by document id and position,
+stays; the words that any later occurrence covers are removed. Only windows that can repeat are
+written: a window's fingerprint is the least of its GRAM-word hashes (winnowing), and equal windows
+have equal fingerprints, so that windows whose fingerprint occurs at one place only are left out.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from strandex.llm import wordhash
+from strandex.llm.runtime import Tables
+
+SPAN, GRAM = 50, 25
+
+
+def _texts(column: pa.Array):
+    """For each text its bytes, its words' hashes, and their first and last bytes."""
+    data, offsets = wordhash.buffers(column)
+    for i, j in wordhash.steps(offsets):
+        part = data[offsets[i] : offsets[j]]
+        starts, ends, first = wordhash.spans(part, offsets[i : j + 1] - offsets[i], wordhash.WHITE)
+        words = wordhash.hashes(part, starts, ends)
+        for r in range(j - i):
+            a, b, lead, end = first[r], first[r + 1], offsets[i + r] - offsets[i], offsets[i + r + 1] - offsets[i]
+            yield part[lead:end], words[a:b], starts[a:b] - lead, ends[a:b] - lead
+
+
+def _fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The GRAM-word hashes, and for each window the place of its least one."""
+    grams = wordhash.grams(words, GRAM)
+    if len(words) < SPAN:
+        return grams, np.zeros(0, np.int64)
+    least = np.lib.stride_tricks.sliding_window_view(grams, SPAN - GRAM + 1).argmin(axis=1)
+    return grams, least + np.arange(len(least))
+
+
+def _places(docs: DataFrame, kind: str, windows: bool) -> DataFrame:
+    """(w, id, t, pos): the fingerprints of the texts, or the windows whose fingerprint is at one of ``at``."""
+
+    def run(batches):
+        for batch in batches:
+            count, hashes, places = [], [], []
+            at = batch.column(3).to_pylist() if windows else None
+            for k, (_, words, _, _) in enumerate(_texts(batch.column(2))):
+                grams, least = _fingerprints(words)
+                if windows:
+                    pos = np.flatnonzero(np.isin(least, at[k]))
+                    found = wordhash.grams(words, SPAN)[pos]
+                else:
+                    pos = np.unique(least)
+                    found = grams[pos]
+                count.append(len(pos))
+                hashes.append(found)
+                places.append(pos)
+            of = pa.array(np.repeat(np.arange(len(count)), count))
+            flat = np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64)
+            where = np.concatenate(places).astype(np.int64) if places else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat), batch.column(0).take(of), batch.column(1).take(of), pa.array(where)], names=["w", "id", "t", "pos"])
+
+    return docs.mapInArrow(run, f"w long, id {kind}, t long, pos long")
+
+
+def _without(column: pa.Array, spans: list) -> tuple[list[str], list[int]]:
+    """The texts without the words of their spans, and how many went. A word goes with the space after it."""
+    texts, removed = [], []
+    for (data, words, starts, ends), cuts in zip(_texts(column), spans, strict=True):
+        edge = np.zeros(len(words) + 1, np.int64)
+        for s in cuts:
+            edge[s["start"]] += 1
+            edge[s["end"]] -= 1
+        gone = np.cumsum(edge[:-1]) > 0
+        step = np.zeros(len(data) + 1, np.int64)
+        to = np.append(starts[1:], ends[-1:])
+        np.add.at(step, starts[gone], 1)
+        np.add.at(step, to[gone], -1)
+        texts.append(data[np.cumsum(step[:-1]) == 0].tobytes().decode())
+        removed.append(int(gone.sum()))
+    return texts, removed
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the text column cleaned, plus ``n_words_removed`` (long).
+
+    Words are runs without white space; A-Z count as a-z. Of a window that repeats within a text, words
+    of the first occurrence stay. Null texts and texts of fewer than SPAN words are kept whole, rows with
+    a null id too; they take no part. Equal rows are one place, different texts of one id are not.
+    """
+    work = Tables(docs.sparkSession, "passages")
+    kind = docs.schema[id_col].dataType.simpleString()
+    keyed = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    prints = work.write("prints", _places(keyed, kind, False))
+    several = work.write("several", prints.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"))
+    at = work.write("at", prints.join(several, "w").groupBy("id", "t").agg(F.collect_set("pos").alias("at")))
+    work.drop("prints", "several")
+    places = work.write("places", _places(keyed.join(at, ["id", "t"]).select("id", "t", "text", "at"), kind, True))
+    repeated = work.write("repeated", places.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "t", "pos")).alias("kept")).where("n > 1").select("w", "kept"))
+    later = places.join(repeated, "w").where(F.struct("id", "t", "pos") > F.col("kept"))
+    own = (F.col("id") == F.col("kept.id")) & (F.col("t") == F.col("kept.t"))
+    start = F.when(own, F.greatest("pos", F.col("kept.pos") + SPAN)).otherwise(F.col("pos"))
+    spans = later.select("id", "t", start.alias("start"), (F.col("pos") + SPAN).alias("end")).groupBy("id", "t").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    spans = work.write("spans", spans.select(F.col("id").alias("_id"), F.col("t").alias("_t"), "_spans"))
+    work.drop("at", "places", "repeated")
+
+    docs = docs.drop("n_words_removed")
+    same = (F.col(id_col) == F.col("_id")) & (F.xxhash64(text_col) == F.col("_t"))
+    names, place = docs.columns, docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            texts, removed = _without(batch.column(place), batch.column(len(names)).to_pylist())
+            columns = [pa.array(texts, pa.string()) if k == place else batch.column(k) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*names, "n_words_removed"])
+
+    whole = docs.join(spans, same, "left_anti").withColumn("n_words_removed", F.lit(0).cast("long"))
+    cut = docs.join(spans, same).select(*[F.col(f"`{c}`") for c in names], "_spans")
+    return whole.union(cut.mapInArrow(run, whole.schema))

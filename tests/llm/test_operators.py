@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from strandex.llm import decontam, embeddings, html, jaccard, language, linededup, mixing, tokens, toxicity, urls, wordhash
+from strandex.llm import decontam, embeddings, html, jaccard, language, linededup, mixing, passages, tokens, toxicity, urls, wordhash
 from strandex.llm.queries import URL_RULES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -324,3 +324,30 @@ def test_viterbi_matches_the_plain_recursion():
             best.append(int(k[best[-1]]))
         value = lambda p: sum(e[a + i][x] for i, x in enumerate(p)) - 2.0 * sum(x != y for x, y in zip(p, p[1:]))
         assert value(got[a:b].tolist()) == pytest.approx(value(best[::-1]), abs=1e-3)
+
+
+def test_passages_of_50_words_that_lines_do_not_show(spark):
+    rng = random.Random(14)
+    shared = words(rng, 120, 10**6)
+    own = lambda n: words(rng, n, 10**6)
+    texts = {i: " ".join(own(30) + shared[i : i + 50 + i] + own(i)) for i in range(1, 30)}  # one sentence each
+    texts |= {40: "é ü " + " ".join(own(9) + shared[:49] + own(9)), 41: " \n" + "\n".join(shared).upper() + "\n ", 42: "zz " * 120, 43: None, 44: "", 45: " ".join(own(5)) + " zz" * 70 + " end"}
+    rows = [(i, t) for i, t in texts.items()] + [(3, texts[3]), (None, texts[3]), (3, "other " + texts[3])]
+    got = passages.dedup_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert linededup.dedup_lines(spark.createDataFrame(rows[:29], "doc_id long, text string")).where("n_removed > 0").isEmpty()
+    first, want = {}, {}
+    for i, t in sorted(texts.items()):
+        w = brute.WORDS.findall(brute.lower(t))
+        gone = set()
+        for k in range(len(w) - 49):
+            d, at = first.setdefault(tuple(w[k : k + 50]), (i, k))
+            gone |= set(range(max(k, at + 50) if d == i else k, k + 50)) if (d, at) != (i, k) else set()
+        want[i] = ([x for k, x in enumerate(w) if k not in gone], len(gone))
+    for r in got:
+        if r.doc_id is None:
+            assert (r.text, r.n_words_removed) == (texts[3], 0)
+        elif r.doc_id != 3:
+            assert (brute.WORDS.findall(brute.lower(r.text)), r.n_words_removed) == want[r.doc_id]
+    by = {r.doc_id: r for r in got}
+    assert by[41].n_words_removed == 107 and by[42].text.split() == ["zz"] * 50 and by[45].text.endswith(" end") and by[43].text is None
+    assert sum(r.doc_id == 3 for r in got) == 3
