@@ -71,19 +71,8 @@ def _presence(train: DataFrame) -> DataFrame:
 
 
 def _without_copies(train: DataFrame) -> DataFrame:
-    """(text, toxic) of the least id of the texts with the same label and the same least 5-gram hash.
-    The groups are made from ids and hashes; the ids that stay are joined back."""
-
-    def run(batches):
-        for batch in batches:
-            least = [int(wordhash.grams(w, min(5, len(w))).min()) if len(w) else 0 for w in wordhash.documents(batch.column(1), wordhash.NOT_ALNUM)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], names=["id", "toxic", "least"])
-
-    kind = train.schema["id"].dataType.simpleString()
-    stay = train.mapInArrow(run, f"id {kind}, toxic boolean, least long").groupBy("toxic", "least").agg(F.min("id").alias("_stay")).select("_stay")
-    stay = Tables(train.sparkSession, "toxicity").write("stay", stay.distinct())
-    stay = F.broadcast(stay) if stay.count() <= BROADCAST_LABELS else stay
-    return train.join(stay, train["id"] == stay["_stay"], "left_semi").select("text", "toxic")
+    """(text, toxic), once for exact copies with the same label; every other text stays."""
+    return Tables(train.sparkSession, "toxicity").write("train", train.select("text", "toxic").distinct())
 
 
 def _log_odds(counts: DataFrame) -> DataFrame:

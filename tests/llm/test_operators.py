@@ -351,3 +351,12 @@ def test_passages_of_50_words_that_lines_do_not_show(spark):
     by = {r.doc_id: r for r in got}
     assert by[41].n_words_removed == 107 and by[42].text.split() == ["zz"] * 50 and by[45].text.endswith(" end") and by[43].text is None
     assert sum(r.doc_id == 3 for r in got) == 3
+
+
+def test_texts_that_share_a_passage_all_count_in_training(spark):
+    rng = random.Random(13)
+    passage = " ".join(words(rng, 60))
+    texts = [passage + " " + " ".join(words(rng, 60)) for _ in range(40)] + ["... !", "--", "?"]
+    train = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate([*texts, *texts[:2] * 3, texts[0]])], "id long, text string, toxic boolean")
+    got = sorted((r.text, r.toxic) for r in toxicity._without_copies(train).collect())
+    assert got == sorted({(r.text, r.toxic) for r in train.collect()}) and {t for t, _ in got} == set(texts)
