@@ -20,8 +20,10 @@ from strandex.llm.runtime import Tables
 
 #: Bytes of the stems that count as tokens beside the whole word.
 STEMS = (4, 5, 6)
-#: Strength of the Dirichlet prior in tokens, its floor per token, least z-score, most tokens kept (by z-score).
-PRIOR, FLOOR, LEAST_Z, MOST_TOKENS = 10_000.0, 0.5, 3.5, 1 << 16
+#: Strength of the Dirichlet prior in tokens, its floor per token, least z-score.
+PRIOR, FLOOR, LEAST_Z = 10_000.0, 0.5, 3.5
+#: Significant tokens that the driver reads at a time.
+READ_TOKENS = 1 << 20
 #: Subtracted from the weight of every word, so that the expected weight is negative.
 DRIFT = 0.3
 GRID = np.round(np.arange(1, 31) * 0.1, 1)
@@ -84,7 +86,15 @@ def _log_odds(counts: DataFrame) -> DataFrame:
     side = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
     weight = side(F.col("toxic"), n1) - side(F.col("other"), n0)
     at = at.withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)))
-    return at.where(F.abs("z") >= LEAST_Z).select("token", "weight", "z").orderBy(F.desc(F.abs("z")), "token").limit(MOST_TOKENS)
+    return at.where(F.abs("z") >= LEAST_Z).select("token", "weight", "z")
+
+
+def _read(significant: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens and weights of a written table, in blocks; 16 bytes a token in the driver and in each worker."""
+    blocks = max(1, -(-significant.count() // READ_TOKENS))
+    parts = [significant.where(F.pmod("token", F.lit(blocks)) == i).select("token", "weight").toArrow() for i in range(blocks)]
+    token, weight = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("token", "weight"))
+    return token.view(np.uint64), weight
 
 
 class Scorer:
@@ -93,8 +103,10 @@ class Scorer:
     def __init__(self, tokens: np.ndarray, weights: np.ndarray):
         order = np.argsort(tokens)
         self.tokens, self.weights = tokens[order], weights[order]
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[self.tokens & np.uint64((1 << 20) - 1)] = True
+        bits = max(20, (8 * len(tokens)).bit_length())  # one place in eight is taken at most
+        self.mask = np.uint64((1 << bits) - 1)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[self.tokens & self.mask] = True
         self.lam, self.k = float(GRID[-1]), 1.0
         self.curve = np.full(BINS, 0.5)
 
@@ -104,7 +116,7 @@ class Scorer:
         if not len(self.tokens):
             return weight
         for hashes in (kinds[0], *kinds[:0:-1]):
-            maybe = np.flatnonzero(self.filter[hashes & np.uint64((1 << 20) - 1)] & open_)
+            maybe = np.flatnonzero(self.filter[hashes & self.mask] & open_)
             at = np.minimum(np.searchsorted(self.tokens, hashes[maybe]), len(self.tokens) - 1)
             known = self.tokens[at] == hashes[maybe]
             maybe, at = maybe[known], at[known]
@@ -200,8 +212,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         marks = F.broadcast(marks)
     train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("id", "text", "toxic")
     train = _without_copies(train)
-    kept = _log_odds(Tables(spark, "toxicity").write("counts", _presence(train))).collect()
-    scorer = Scorer(np.array([r["token"] for r in kept], np.int64).view(np.uint64), np.array([r["weight"] for r in kept], float))
+    work = Tables(spark, "toxicity")
+    scorer = Scorer(*_read(work.write("significant", _log_odds(work.write("counts", _presence(train))))))
     rows = _rows(train, spark.sparkContext.broadcast(scorer))
     clean = rows.where(~F.col("toxic"))
     total = clean.agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"g{i}") for i in range(len(GRID))]).first()

@@ -360,3 +360,14 @@ def test_texts_that_share_a_passage_all_count_in_training(spark):
     train = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate([*texts, *texts[:2] * 3, texts[0]])], "id long, text string, toxic boolean")
     got = sorted((r.text, r.toxic) for r in toxicity._without_copies(train).collect())
     assert got == sorted({(r.text, r.toxic) for r in train.collect()}) and {t for t, _ in got} == set(texts)
+
+
+def test_every_significant_token_is_kept(spark, monkeypatch):
+    n = 70_000
+    toxic = F.when(F.col("id") % 2 == 0, 200).otherwise(0)
+    counts = spark.range(n).select(F.col("id").alias("token"), toxic.alias("toxic"), (200 - toxic).alias("other"))
+    significant = toxicity._log_odds(counts)
+    assert significant.count() == n
+    monkeypatch.setattr(toxicity, "READ_TOKENS", 20_000)
+    tokens_, weights = toxicity._read(significant)
+    assert sorted(tokens_.tolist()) == list(range(n)) and all((w > 0) == (t % 2 == 0) for t, w in zip(tokens_, weights))
