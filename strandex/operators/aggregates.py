@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -26,10 +28,35 @@ def standardized(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*rest, *[((F.col(c) - F.lit(moments[f"m_{c}"])) / F.lit(moments[f"s_{c}"])).alias(c) for c in keep])
 
 
-def gram(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """(i, j, value) for i <= j: sums of products of the first ``size`` elements, as partial sums."""
-    cells = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.transform(F.sequence(i, F.lit(size - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"), (F.get(vector, i).cast("double") * F.get(vector, j).cast("double")).alias("x")))))
-    return df.select(F.explode(cells).alias("c")).groupBy("c.i", "c.j").agg(F.sum("c.x").alias("value"))
+def gram(df: DataFrame, vector: str, size: int | None = None) -> DataFrame:
+    """(i, j, value) for i <= j: sums of products of the elements, or of the first ``size``. Outer products are
+    summed in each partition; the widest vector gives the width. A null or missing element adds nothing; a
+    cell without any product is null."""
+
+    def run(batches):
+        total = count = np.zeros((0, 0))
+        for batch in batches:
+            column = batch.column(0).drop_null()
+            lengths = np.diff(column.offsets.to_numpy())
+            width = min(size or int(lengths.max(initial=0)), int(lengths.max(initial=0)))
+            if width > len(total):
+                total, count = (np.pad(m, (0, width - len(m))) for m in (total, count))
+            flat = column.flatten().cast(pa.float64())
+            values = flat.to_numpy(zero_copy_only=False)
+            there = flat.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            used = there & (place < width)
+            x, m = np.zeros((2, len(lengths), width))
+            x[row[used], place[used]], m[row[used], place[used]] = values[used], 1.0
+            total[:width, :width] += x.T @ x
+            count[:width, :width] += m.T @ m
+        i, j = np.triu_indices(len(total))
+        n = count[i, j]
+        value = pa.array(total[i, j], mask=n == 0)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), value], names=["i", "j", "value"])
+
+    return df.select(vector).mapInArrow(run, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
 
 
 def longest(*texts: Column) -> Column:

@@ -162,6 +162,15 @@ def test_aggregates(spark):
     assert got == {(0, 0): 35.0, (0, 1): 25.0, (1, 1): 41.0}
 
 
+def test_gram_takes_its_width_from_the_data(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(50, 64))
+    df = spark.createDataFrame([(v.tolist(),) for v in x] + [(None,), ([1.0, None, 2.0],)], "v array<float>").repartition(3)
+    got = {(r.i, r.j): r.value for r in aggregates.gram(df, "v").collect()}
+    full = np.vstack([x.astype(np.float32), np.eye(64)[0] + 2 * np.eye(64)[2]]).astype(float)
+    assert len(got) == 64 * 65 // 2 and all(abs(got[i, j] - (full.T @ full)[i, j]) < 1e-9 for i, j in got)
+
+
 def test_streamed_means_equal_the_batch(spark, tmp_path):
     batch = spark.range(300).select((F.col("id") % 3).alias("user_id"), F.timestamp_seconds(F.col("id") * 120).alias("ts"), F.col("id").cast("double").alias("value"))
     batch.coalesce(1).write.parquet(f"{tmp_path}/in")
