@@ -98,35 +98,40 @@ def _exploded(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
-    """(id, fragment, grams): each set cut at fixed points of the global order."""
+    """(id, n, s, fragment, grams): each set, of n grams and with the hash s, cut at fixed points of the global order."""
+
+    def rows(ids, size, sums, frag, parts):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(frag, pa.int32()), _longs(parts)], names=["id", "n", "s", "fragment", "grams"])
 
     def run(batches):
         cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
-            ids, frag, parts = [], [], []
+            held = ids, size, sums, frag, parts = [], [], [], [], []
             for doc, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n)):
+                own = int(wordhash.mix(grams ^ _SALT[0]).sum(dtype=np.uint64))
                 for f, part in enumerate(np.split(grams, np.searchsorted(grams, cuts))):
                     if len(part):
-                        ids.append(doc)
-                        frag.append(f)
-                        parts.append(part)
+                        for x, y in zip(held, (doc, len(grams), own, f, part)):
+                            x.append(y)
                 if len(ids) >= 4096:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frag, pa.int32()), _longs(parts)], names=["id", "fragment", "grams"])
-                    ids, frag, parts = [], [], []
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(frag, pa.int32()), _longs(parts)], names=["id", "fragment", "grams"])
+                    yield rows(*held)
+                    held = ids, size, sums, frag, parts = [], [], [], [], []
+            yield rows(*held)
 
-    return docs.mapInArrow(run, "id long, fragment int, grams array<long>")
+    return docs.mapInArrow(run, "id long, n long, s long, fragment int, grams array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, name: str) -> DataFrame:
-    """Of the pairs (a, b, na, nb) those that link, by overlaps counted per fragment and summed."""
+def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, name: str, repeated: bool) -> DataFrame:
+    """Of the pairs (a, b, na, nb) those that link, by overlaps counted per fragment and summed for each
+    set of a with each of b. If ids repeat, a fragment of a set is taken once."""
     ids = work.write(f"{name}_ids", pairs.select(F.col("a").alias("i")).union(pairs.select("b")).distinct())
-    segments = work.write(f"{name}_segments", _fragments(_of_ids(docs, ids), n))
-    left = segments.select(F.col("id").alias("a"), "fragment", F.col("grams").alias("ga"))
-    right = segments.select(F.col("id").alias("b"), "fragment", F.col("grams").alias("gb"))
-    partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"))
-    whole = partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    links = work.write(f"{name}_links", whole.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b"))
+    segments = _fragments(_of_ids(docs, ids), n)
+    segments = work.write(f"{name}_segments", segments.dropDuplicates(["id", "n", "s", "fragment"]) if repeated else segments)
+    left = segments.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"), "fragment", F.col("grams").alias("ga"))
+    right = segments.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"), "fragment", F.col("grams").alias("gb"))
+    partial = pairs.join(left, ["a", "na"]).join(right, ["b", "nb", "fragment"]).select("a", "b", "na", "nb", "sa", "sb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("overlap"))
+    whole = partial.groupBy("a", "b", "na", "nb", "sa", "sb").agg(F.sum("overlap").alias("overlap"))
+    links = work.write(f"{name}_links", whole.where(100 * F.col("overlap") >= percent * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b").distinct())
     work.drop(f"{name}_ids", f"{name}_segments")
     return links
 
@@ -180,7 +185,7 @@ def _fits(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _pivot_links(sets: DataFrame, grams: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables) -> DataFrame:
+def _pivot_links(sets: DataFrame, grams: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, repeated: bool) -> DataFrame:
     """Links between sets and pivots (step 3)."""
     middle = grams.groupBy("id").agg((F.sum(F.log2("k")) / F.max("size")).alias("score"))
     scored = grams.join(middle, "id")
@@ -191,7 +196,7 @@ def _pivot_links(sets: DataFrame, grams: DataFrame, docs: DataFrame, n: int, per
     pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), F.when(first, F.col("n")).otherwise(F.col("np")).alias("na"), F.when(first, F.col("np")).otherwise(F.col("n")).alias("nb")).distinct()
     pairs = work.write("pivot_pairs", _plausible(work.write("pivot_met", pairs), sets, percent))
     work.drop("pivots", "pivot_met")
-    return _verified(pairs, docs, n, percent, work, "pivot")
+    return _verified(pairs, docs, n, percent, work, "pivot", repeated)
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -201,7 +206,7 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b", "na", "nb")
 
 
-def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables) -> DataFrame:
+def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, repeated: bool) -> DataFrame:
     """Pairs (a, b, na, nb) of different classes that may link (step 4)."""
     classed = work.write("classed", grams.join(labels.withColumnRenamed("v", "id"), "id", "left").select("gram", "id", "n", F.coalesce("c", "id").alias("c")))
     several = work.write("several", classed.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram"))
@@ -209,6 +214,7 @@ def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, pe
     unsettled = work.write("unsettled", shared.where(F.col("m") >= F.least(F.lit(SHARED), _need("n", percent))).select(F.col("id").alias("i"), "n", "c"))
     work.drop("classed", "several")
     whole = _exploded(_of_ids(docs, unsettled.select("i").distinct()), n)
+    whole = whole.distinct() if repeated else whole
     whole = work.write("whole", whole.join(unsettled, F.col("id") == F.col("i")).select("id", "gram", "n", "c"))
     mixed = work.write("mixed", whole.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram", "df"))
     own = whole.join(mixed, "gram").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("held"))
@@ -238,7 +244,8 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     Two texts link when 100 * intersection >= percent * union of their n-gram sets (percent at least
     75, for which the sketch is proven). component_id is the least id that links reach, the own one
     included. A null or empty text, or one without words, has no set: n_shingles 0, linked with
-    nothing. Repeated rows get the same result. A null id takes part as no one: its row gets
+    nothing. Repeated rows count once and get the same result; the texts of one id are one member, which
+    links where one of them does. A null id takes part as no one: its row gets
     n_shingles and a null component. Other columns are not carried.
     """
     if percent < 75:
@@ -250,17 +257,18 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     sets = work.write("sets", same.agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
     profile = work.write("profile", full.select("id", "n", "s1", "s2"))
     work.drop("full")
+    repeated = not profile.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
 
     each = sets.select("id", "n", F.size("sketch").cast("long").alias("size"), F.explode("sketch").alias("gram"))
     several = work.write("shared", each.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     grams = work.write("grams", each.join(several, "gram"))
     work.drop("shared")
-    links = _pivot_links(sets, grams, docs, n, percent, work)
+    links = _pivot_links(sets, grams, docs, n, percent, work, repeated)
     labels = components(links, work, "classes")
-    pairs = work.write("open_pairs", _open_pairs(grams, labels, docs, n, percent, work))
+    pairs = work.write("open_pairs", _open_pairs(grams, labels, docs, n, percent, work, repeated))
     work.drop("grams", "prefix")
     if not pairs.isEmpty():
-        links = work.write("links", links.union(_verified(pairs, docs, n, percent, work, "open")).distinct())
+        links = work.write("links", links.union(_verified(pairs, docs, n, percent, work, "open", repeated)).distinct())
         labels = components(links, work, "all_classes")
     # Back from sets to documents.
     named = work.write("named", sets.select("n", "s1", "s2", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("c", "id").alias("c")))

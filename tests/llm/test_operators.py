@@ -371,3 +371,13 @@ def test_every_significant_token_is_kept(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "READ_TOKENS", 20_000)
     tokens_, weights = toxicity._read(significant)
     assert sorted(tokens_.tolist()) == list(range(n)) and all((w > 0) == (t % 2 == 0) for t, w in zip(tokens_, weights))
+
+
+def test_similar_sets_count_repeated_rows_once(spark):
+    rng = random.Random(12)
+    shared, ends = words(rng, 54, 10**6), [words(rng, 50, 10**6) for _ in range(2)]
+    texts = {1: " ".join(shared + ends[0]), 2: " ".join(shared + ends[1]), 3: " ".join([*shared, *ends[1][:-2], "x", "y"])}
+    for times in ((2, 1, 1), (2, 2, 2)):
+        df = spark.createDataFrame([(i, texts[i]) for i, k in zip(texts, times) for _ in range(k)], "doc_id long, text string")
+        got = jaccard.similar_sets(df).collect()
+        assert len(got) == sum(times) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.similar(texts)
