@@ -14,10 +14,15 @@ summed per pair. What remains is to verify few pairs, and still all that can mat
    and links make classes. A group costs one pair per member, not one per pair.
 4. Sets that share SHARED sketch n-grams with sets of other classes stay open. For these alone the
    whole sets are looked at, by the exact prefix principle: n-grams that no other class holds come
-   first, then the rarest, and linked sets must meet in the first n - ceil(3/4 n) + 1 of them.
-   Pairs of different classes that meet, and whose sizes, counts of n-grams held by other classes and
-   places of the shared n-gram allow a link, are verified like the others. This finds every link between classes, so that the
-   classes are exact whatever the pivots were.
+   first, then the rarest, and linked sets must meet in the first n - ceil(3/4 n) + 1 of them. Sets
+   that meet, directly or over others, make a neighbourhood; no link leaves one. A neighbourhood is
+   cut into tiles of a bounded number of n-grams, and a pair of tiles is compared in one task: overlaps
+   are counted fragment by fragment and summed, for the sets outside the largest class against all.
+   A task returns a spanning forest of the links between classes, never pairs, so that a group costs
+   a row per member. This finds every link between classes: they are exact whatever the pivots were.
+
+``exact`` takes as sketch the first n - ceil(3/4 n) + SHARED n-grams instead, which holds the first
+SHARED that linked sets have in common, without a probability: more rows, the same classes.
 """
 
 from __future__ import annotations
@@ -34,8 +39,9 @@ FRAGMENTS = 8
 #: Sketch n-grams that a set shares with a pivot to be compared with it (fewer if the sketch is small).
 #: Of no effect on the result, as step 4 is exact.
 WITH_PIVOT = 4
-#: Prefix n-grams before a shared one that are looked at, so that a pair with several of them meets mostly once.
-BEFORE = 12
+#: n-grams of a tile, about; those of a task are twice as many. Places of shared n-grams looked up at once.
+TILE, AT_ONCE = 1 << 20, 1 << 20
+_CUTS = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
 #: Ids broadcast to the texts at most (8 bytes each).
 BROADCAST_IDS = 4_000_000
 
@@ -58,16 +64,21 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
-def _profile(docs: DataFrame, n: int) -> DataFrame:
+def _profile(docs: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
     """id, size, two hashes of the whole set, and its sketch."""
 
+    def head(size):
+        if exact:
+            return size + percent * size // -100 + SHARED
+        return size if size <= WHOLE else SKETCH
+
     def run(batches):
         for batch in batches:
             size, sums, sketch = [], [], []
             for grams in shingle_sets(batch.column(1), n):
                 size.append(len(grams))
                 sums.append([int(wordhash.mix(grams ^ s).sum(dtype=np.uint64)) for s in _SALT])
-                sketch.append(grams if len(grams) <= WHOLE else grams[:SKETCH])
+                sketch.append(grams[: head(len(grams))])
             a, b = (pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), a, b, _longs(sketch)], names=["id", "n", "s1", "s2", "sketch"])
 
@@ -75,12 +86,12 @@ def _profile(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _exploded(docs: DataFrame, n: int) -> DataFrame:
-    """(id, gram) of the whole sets."""
+    """(id, n, gram) of the whole sets, of n grams."""
 
     def rows(ids, parts):
-        of = np.repeat(np.array(ids, np.int64), [len(x) for x in parts])
+        size = np.array([len(x) for x in parts], np.int64)
         gram = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(of), pa.array(gram.view(np.int64))], names=["id", "gram"])
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), size)), pa.array(np.repeat(size, size)), pa.array(gram.view(np.int64))], names=["id", "n", "gram"])
 
     def run(batches):
         for batch in batches:
@@ -94,7 +105,7 @@ def _exploded(docs: DataFrame, n: int) -> DataFrame:
                     ids, parts, held = [], [], 0
             yield rows(ids, parts)
 
-    return docs.mapInArrow(run, "id long, gram long")
+    return docs.mapInArrow(run, "id long, n long, gram long")
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -104,12 +115,11 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(np.array(sums, np.uint64).view(np.int64)), pa.array(frag, pa.int32()), _longs(parts)], names=["id", "n", "s", "fragment", "grams"])
 
     def run(batches):
-        cuts = np.array([(i << 64) // FRAGMENTS for i in range(1, FRAGMENTS)], np.uint64)
         for batch in batches:
             held = ids, size, sums, frag, parts = [], [], [], [], []
             for doc, grams in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1), n)):
                 own = int(wordhash.mix(grams ^ _SALT[0]).sum(dtype=np.uint64))
-                for f, part in enumerate(np.split(grams, np.searchsorted(grams, cuts))):
+                for f, part in enumerate(np.split(grams, np.searchsorted(grams, _CUTS))):
                     if len(part):
                         for x, y in zip(held, (doc, len(grams), own, f, part)):
                             x.append(y)
@@ -206,53 +216,125 @@ def _plausible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.size(F.array_intersect("ka", "kb")) >= need).select("a", "b", "na", "nb")
 
 
-def _open_pairs(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, repeated: bool) -> DataFrame:
-    """Pairs (a, b, na, nb) of different classes that may link (step 4)."""
+def _open_sets(grams: DataFrame, labels: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, repeated: bool) -> DataFrame:
+    """(id, n, c, e, head, grams) of the sets that may link with one of another class (step 4): the
+    n-grams that other classes hold too, their number, and which of them are the prefix."""
     classed = work.write("classed", grams.join(labels.withColumnRenamed("v", "id"), "id", "left").select("gram", "id", "n", F.coalesce("c", "id").alias("c")))
     several = work.write("several", classed.groupBy("gram").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram"))
     shared = classed.join(several, "gram").groupBy("id", "n", "c").agg(F.count(F.lit(1)).alias("m"))
-    unsettled = work.write("unsettled", shared.where(F.col("m") >= F.least(F.lit(SHARED), _need("n", percent))).select(F.col("id").alias("i"), "n", "c"))
+    unsettled = work.write("unsettled", shared.where(F.col("m") >= F.least(F.lit(SHARED), _need("n", percent))).select(F.col("id").alias("i"), F.col("n").alias("ni"), "c"))
     work.drop("classed", "several")
     whole = _exploded(_of_ids(docs, unsettled.select("i").distinct()), n)
     whole = whole.distinct() if repeated else whole
-    whole = work.write("whole", whole.join(unsettled, F.col("id") == F.col("i")).select("id", "gram", "n", "c"))
+    whole = work.write("whole", whole.join(unsettled, (F.col("id") == F.col("i")) & (F.col("n") == F.col("ni"))).select("id", "gram", "n", "c"))
     mixed = work.write("mixed", whole.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("gram", "df"))
     own = whole.join(mixed, "gram").groupBy("id", "n", "c").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("held"))
     # n - e n-grams come before these e; of the prefix, so many are left for these.
     left = F.size("held") - _need("n", percent) + 1
-    heads = own.where(left > 0).select("id", "n", "c", F.size("held").alias("e"), F.transform(F.slice("held", F.lit(1), left.cast("int")), lambda x: x["gram"]).alias("head"))
-    place = lambda g, i: F.struct(g.alias("gram"), i.alias("at"), F.slice("head", F.greatest(i - BEFORE + 1, F.lit(1)), F.least(i, F.lit(BEFORE))).alias("before"))
-    prefix = work.write("prefix", heads.select("id", "n", "c", "e", F.explode(F.transform("head", place)).alias("g")).select("id", "n", "c", "e", "g.*"))
-    work.drop("whole", "mixed")
-    return _meetings(prefix, percent).distinct()
-
-
-def _meetings(prefix: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different classes with a prefix n-gram in common whose overlap can be large enough:
-    at most what both have before the n-gram, it, and what both have after it."""
-    x, y = (prefix.select("gram", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "c", "e", "at", "before")]) for k in "ab")
-    most = 1 + F.least("at_a", "at_b") + F.least(F.col("e_a") - F.col("at_a"), F.col("e_b") - F.col("at_b")) - 1
-    fits = _fits("n_a", "n_b", percent) & (100 * most >= percent * (F.col("n_a") + F.col("n_b") - most))
-    first = ~F.arrays_overlap("before_a", "before_b")  # else the pair meets on the n-gram before, too
-    met = x.join(y, "gram").where((F.col("id_a") < F.col("id_b")) & (F.col("c_a") != F.col("c_b")) & fits & first)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
-
-
-def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    gram = F.transform("held", lambda x: x["gram"])
+    return own.where(left > 0).select("id", "n", "c", F.size("held").cast("long").alias("e"), F.slice(gram, F.lit(1), left.cast("int")).alias("head"), gram.alias("grams"))
+
+
+def _neighbourhoods(open_: DataFrame, work: Tables) -> DataFrame:
+    """(v, c): for each open set with a prefix n-gram in common with another the least id of its neighbourhood."""
+    prefix = open_.select("id", F.explode("head").alias("gram"))
+    first = prefix.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("gram", "a")
+    star = prefix.join(first, "gram").where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    return components(work.write("star", star), work, "near")
+
+
+def _tiles(members: DataFrame, tile: int) -> DataFrame:
+    """The members dealt to pairs of tiles (bin, t, x, y), with ``left`` for those of tile x. Small
+    neighbourhoods share a bin. Of a large one, members of the largest class meet all others, but not each other."""
+    by_class = members.groupBy("near", "c").agg(F.sum("e").alias("w"))
+    each = by_class.groupBy("near").agg(F.sum("w").alias("total"), F.max(F.struct("w", "c")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    bins = members.agg(F.sum("e").alias("w")).select(F.ceil(F.coalesce("w", F.lit(0)) / tile).cast("int") + 1).first()[0]
+    each = each.select(F.col("near").alias("_near"), F.col("most.c").alias("_c"), (F.col("total") <= tile).alias("bin"), F.ceil((F.col("total") - F.col("most.w")) / tile).alias("s"), F.ceil(F.col("most.w") / tile).alias("l"))
+    at = members.join(each, F.col("near") == F.col("_near"))
+    inner, place = F.col("c") != F.col("_c"), F.xxhash64("id")
+    block = F.when(F.col("bin"), 0).when(inner, F.pmod(place, F.col("s"))).otherwise(F.col("s") + F.pmod(place, F.col("l")))
+    other = F.when(F.col("bin"), 0).when(inner, F.col("s") + F.col("l") - 1).otherwise(F.col("s") - 1)
+    t = F.when(F.col("bin"), F.pmod(F.xxhash64("near"), F.lit(bins))).otherwise(F.col("near"))
+    dealt = at.select("bin", t.alias("t"), "near", "id", "n", "c", "grams", block.cast("long").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), other.cast("long"))).alias("other"))
+    return dealt.select("bin", "t", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), (F.col("block") <= F.col("other")).alias("left"), "near", "id", "n", "c", "grams")
+
+
+def overlaps(grams: np.ndarray, places: np.ndarray, rows: np.ndarray, m: int, least: int) -> np.ndarray:
+    """How many of the sorted ``grams`` each of m sets holds: counted in each fragment and summed. The sets
+    are given as n-grams in order (``places``) and the set of each (``rows``). Stops when none can reach ``least``."""
+    total, left = np.zeros(m, np.int64), len(grams)
+    for part in np.split(grams, np.searchsorted(grams, _CUTS)):
+        low, high = np.searchsorted(places, part, "left"), np.searchsorted(places, part, "right")
+        ends = np.cumsum(high - low)
+        at = 0
+        while at < len(part):  # so many n-grams at once that their places are few
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, "right")))
+            size = (high - low)[at:to]
+            where = np.repeat(low[at:to] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            total += np.bincount(rows[where], minlength=m)
+            at = to
+        left -= len(part)
+        if total.max(initial=0) + left < least:
+            return np.zeros(m, np.int64)
+    return total
+
+
+def forest(sets: list[np.ndarray], n: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (row, row) of a left with a right set that join different classes; each joins two that were apart."""
+    label, out = label.copy(), []
+    flat = np.concatenate([sets[r] for r in right]) if len(right) else np.zeros(0, np.uint64)
+    order = np.argsort(flat, kind="stable")
+    places, rows = flat[order], np.repeat(np.arange(len(right)), [len(sets[r]) for r in right])[order]
+    for x in left:
+        if (label[right] == label[x]).all():
+            continue
+        shared = overlaps(sets[x], places, rows, len(right), -(-percent * int(n[x]) // 100))
+        for y in right[(100 * shared >= percent * (n[x] + n[right] - shared)) & (shared > 0)]:
+            if label[y] != label[x]:
+                out.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return out
+
+
+def _compare(percent: int):
+    """A pair of tiles, or a bin of neighbourhoods -> links (a, b) that join classes."""
+
+    def run(table: pa.Table) -> pa.Table:
+        near, ids, n, c = (table.column(k).to_numpy() for k in ("near", "id", "n", "c"))
+        left, own = table.column("left").to_numpy(), table.column("x")[0] == table.column("y")[0]
+        grams = table.column("grams").combine_chunks()
+        flat, at = grams.flatten().to_numpy().view(np.uint64), grams.offsets.to_numpy()
+        at = at - at[0]
+        sets = [np.sort(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
+        links = []
+        order = np.argsort(near, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
+            if own:
+                classes, count = np.unique(c[rows], return_counts=True)
+                links += forest(sets, n, c, rows[c[rows] != classes[count.argmax()]], rows, percent)
+            else:
+                links += forest(sets, n, c, rows[left[rows]], rows[~left[rows]], percent)
+        a, b = (np.array([ids[x[k]] for x in links], np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", exact: bool = False) -> DataFrame:
     """Per row of ``docs``: the id, ``n_shingles`` and ``component_id``.
 
     Two texts link when 100 * intersection >= percent * union of their n-gram sets (percent at least
-    75, for which the sketch is proven). component_id is the least id that links reach, the own one
+    75, for which the sketch is proven, unless ``exact``). component_id is the least id that links reach, the own one
     included. A null or empty text, or one without words, has no set: n_shingles 0, linked with
     nothing. Repeated rows count once and get the same result; the texts of one id are one member, which
     links where one of them does. A null id takes part as no one: its row gets
     n_shingles and a null component. Other columns are not carried.
     """
-    if percent < 75:
+    if percent < 75 and not exact:
         raise ValueError("the sketch is proven for 75 percent and more")
     work = Tables(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    full = work.write("full", _profile(docs, n))
+    full = work.write("full", _profile(docs, n, percent, exact))
     same = full.where("n > 0 AND id IS NOT NULL").groupBy("n", "s1", "s2")
     sets = work.write("sets", same.agg(F.min("id").alias("id"), F.first("sketch").alias("sketch")))
     profile = work.write("profile", full.select("id", "n", "s1", "s2"))
@@ -265,11 +347,18 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     work.drop("shared")
     links = _pivot_links(sets, grams, docs, n, percent, work, repeated)
     labels = components(links, work, "classes")
-    pairs = work.write("open_pairs", _open_pairs(grams, labels, docs, n, percent, work, repeated))
-    work.drop("grams", "prefix")
-    if not pairs.isEmpty():
-        links = work.write("links", links.union(_verified(pairs, docs, n, percent, work, "open", repeated)).distinct())
-        labels = components(links, work, "all_classes")
+    open_ = work.write("open", _open_sets(grams, labels, docs, n, percent, work, repeated))
+    work.drop("grams", "whole", "mixed", "unsettled")
+    if not open_.isEmpty():
+        near = _neighbourhoods(open_, work).select(F.col("v").alias("id"), F.col("c").alias("near"))
+        members = work.write("members", open_.join(near, "id").select("near", "id", "n", "c", "e", "grams"))
+        found = _tiles(members, TILE).groupBy("bin", "t", "x", "y").applyInArrow(_compare(percent), "a long, b long")
+        found = work.write("found", found.where("a <> b").distinct())
+        if not found.isEmpty():
+            links = work.write("links", links.union(found).distinct())
+            labels = components(links, work, "all_classes")
+        work.drop("star", "members", "found")
+    work.drop("open")
     # Back from sets to documents.
     named = work.write("named", sets.select("n", "s1", "s2", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("c", "id").alias("c")))
     work.drop("sets")
