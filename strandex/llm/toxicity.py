@@ -3,10 +3,13 @@
 Training: how many toxic and how many other texts hold each token (a word, or the stem of a longer
 one) gives its log-odds with an informative Dirichlet prior, and their z-score; significant tokens
 get a weight. A text is the sequence of its words' weights less a drift. One linear scan (Ruzzo and
-Tompa) finds all maximal segments. Under texts that aren't toxic the best segment follows an
-extreme-value law: of n words it scores above s in about K n exp(-lambda s) cases, where lambda
-solves E exp(lambda weight) = 1. What segments score beyond that is summed to the evidence of a text,
-and the share of toxic training texts by evidence, made monotone, is the score.
+Tompa) finds all maximal segments. Under texts that aren't toxic a segment follows an extreme-value
+law: of n words about K n exp(-lambda s) segments score above s, where lambda solves
+E exp(lambda weight) = 1. What lambda s has beyond log(K n) is a segment's excess; excesses above 0
+come as one in the mean, each exponential, and the evidence of a text is the surprise (minus the log
+of the chance) of the sum of all of them. The share of toxic training texts by evidence, made
+monotone, is the score. Evidence for this comes from weights that were learned without the text's
+own part of the training texts (cross-fitting by a hash of the text).
 """
 
 from __future__ import annotations
@@ -27,74 +30,123 @@ READ_TOKENS = 1 << 20
 #: Subtracted from the weight of every word, so that the expected weight is negative.
 DRIFT = 0.3
 GRID = np.round(np.arange(1, 31) * 0.1, 1)
-#: Bins of the evidence for the calibration.
-LOW, HIGH, BINS = -10.0, 40.0, 100
-#: Further segments that count, and how much.
-FURTHER, PART = 2, 0.25
+#: Bins of the evidence for the calibration, and what they rise by in all, so that more evidence scores more.
+LOW, HIGH, BINS, RISE = -10.0, 40.0, 100, 1e-3
+#: Parts of the training texts for cross-fitting.
+FOLDS = 3
+#: Rows of token counts that a task gathers before it merges them, and that it sends on at most.
+GATHER, SEND = 1 << 18, 1 << 19
 #: Labels broadcast to the texts at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 4_000_000
 _SALT = np.random.default_rng(99).integers(0, 2**63, len(STEMS) + 1, dtype=np.uint64)
 
 
+def _surprise() -> tuple[np.ndarray, np.ndarray]:
+    """s, and -log of the chance that N excesses sum to s or more: N is Poisson of mean 1, each is exponential of mean 1."""
+    s = np.concatenate([[1e-9], np.arange(0.25, 100, 0.25)])
+    k = np.arange(1, 200)
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(k))])
+    terms = np.logaddexp.accumulate(np.outer(np.log(s), k - 1) - log_factorial[k - 1], axis=1)  # sum of s^j / j! for j < k
+    return s, 1 + s - np.logaddexp.reduce(terms - log_factorial[k], axis=1)
+
+
+_SUM, _SURPRISE = _surprise()
+
+
 def _tokens(part: np.ndarray, offsets: np.ndarray):
     """Words, and for each kind of token the hash of each word's (0 where a word has no such stem)."""
     starts, ends, first = wordhash.spans(part, offsets, wordhash.NOT_ALNUM)
-    total = wordhash.sums(part)
-    kinds = [wordhash.between(total, starts, ends) ^ _SALT[0]]
-    for k, salt in zip(STEMS, _SALT[1:]):
-        stem = wordhash.between(total, starts, np.minimum(starts + k, ends)) ^ salt
-        stem[ends - starts <= k] = 0
-        kinds.append(stem)
+    kinds = [np.zeros(len(starts), np.uint64) for _ in range(len(STEMS) + 1)]
+    for i, j in wordhash.blocks(starts, ends):
+        base = starts[i]
+        total, at, to = wordhash.sums(part[base : ends[j - 1]]), starts[i:j] - base, ends[i:j] - base
+        kinds[0][i:j] = wordhash.between(total, at, to) ^ _SALT[0]
+        for kind, k, salt in zip(kinds[1:], STEMS, _SALT[1:]):
+            stem = wordhash.between(total, at, np.minimum(at + k, to)) ^ salt
+            stem[to - at <= k] = 0
+            kind[i:j] = stem
     return starts, ends, first, kinds
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts (token, columns) of several tables as one."""
+    token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts])
+    return token, np.stack([np.bincount(at, c, len(token)) for c in counts.T], axis=1).astype(np.int64)
+
+
+_COUNTS = [f"{side}{f}" for f in range(FOLDS) for side in ("toxic", "other")]
+
+
 def _presence(train: DataFrame) -> DataFrame:
-    """(token, toxic, other): numbers of texts, summed within each batch."""
+    """(token, toxic0, other0, ...): numbers of texts by part. A task holds a bounded number of tokens."""
+
+    def batch_of(table):
+        token, counts = table
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(c) for c in counts.T]], names=["token", *_COUNTS])
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            column = 2 * batch.column(2).to_numpy() + ~batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             data, offsets = wordhash.buffers(batch.column(0))
-            found = {True: [], False: []}
             for i, j in wordhash.steps(offsets):
-                part = data[offsets[i] : offsets[j]]
-                _, _, first, kinds = _tokens(part, offsets[i : j + 1] - offsets[i])
-                for r in range(j - i):
-                    a, b = first[r], first[r + 1]
-                    own = np.unique(np.concatenate([k[a:b] for k in kinds]))
-                    found[bool(toxic[i + r])].append(own[own != 0])
-            counts = [np.unique(np.concatenate(found[c] or [np.zeros(0, np.uint64)]), return_counts=True) for c in (True, False)]
-            token = np.concatenate([counts[0][0], counts[1][0]]).view(np.int64)
-            zero = [np.zeros(len(c[1]), np.int64) for c in counts]
-            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate([counts[0][1], zero[1]])), pa.array(np.concatenate([zero[0], counts[1][1]]))], names=["token", "toxic", "other"])
-
-    rows = train.mapInArrow(run, "token long, toxic long, other long")
-    return rows.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+                _, _, first, kinds = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                own = [np.unique(np.concatenate([k[first[r] : first[r + 1]] for k in kinds])) for r in range(j - i)]
+                token, at = np.unique(np.concatenate(own), return_inverse=True)
+                place = at * len(_COUNTS) + np.repeat(column[i:j], [len(x) for x in own])
+                counts = np.bincount(place, minlength=len(token) * len(_COUNTS)).reshape(-1, len(_COUNTS))
+                word = token != 0
+                held.append((token[word], counts[word]))
+                size += len(token)
+                if size > GATHER:
+                    held = [_merged(held)]
+                    size = len(held[0][0])
+                    if size > SEND:
+                        yield batch_of(held[0])
+                        held, size = [], 0
+                    else:
+                        size //= 2  # room for as much again before the next merge
+        if held:
+            yield batch_of(_merged(held))
+
+    rows = train.mapInArrow(run, "token long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
 def _without_copies(train: DataFrame) -> DataFrame:
-    """(text, toxic), once for exact copies with the same label; every other text stays."""
-    return Tables(train.sparkSession, "toxicity").write("train", train.select("text", "toxic").distinct())
+    """(text, toxic, fold), once for exact copies with the same label; every other text stays."""
+    fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
+    return Tables(train.sparkSession, "toxicity").write("train", train.select("text", "toxic").distinct().withColumn("fold", fold))
 
 
 def _log_odds(counts: DataFrame) -> DataFrame:
-    """(token, weight, z) of the significant tokens."""
-    total = counts.agg(F.sum("toxic").alias("n1"), F.sum("other").alias("n0")).first()
-    n1, n0 = float(total["n1"] or 0), float(total["n0"] or 0)
-    at = counts.where(F.col("toxic") + F.col("other") >= 5)
-    prior = F.greatest(F.lit(FLOOR), PRIOR * (F.col("toxic") + F.col("other")) / (n1 + n0 + 1))
-    side = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
-    weight = side(F.col("toxic"), n1) - side(F.col("other"), n0)
-    at = at.withColumn("weight", weight).withColumn("z", F.col("weight") / F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("other") + prior)))
-    return at.where(F.abs("z") >= LEAST_Z).select("token", "weight", "z")
-
-
-def _read(significant: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens and weights of a written table, in blocks; 16 bytes a token in the driver and in each worker."""
+    """(token, w, w0, w1, ...): weights from all parts, and from all but one; null where a token isn't significant."""
+    total = counts.agg(*[F.sum(c).alias(c) for c in _COUNTS]).first()
+    weights = []
+    for left_out in (None, *range(FOLDS)):
+        kept = [f for f in range(FOLDS) if f != left_out]
+        y1, y0 = (sum((F.col(f"{side}{f}") for f in kept[1:]), F.col(f"{side}{kept[0]}")) for side in ("toxic", "other"))
+        n1, n0 = (float(sum(total[f"{side}{f}"] or 0 for f in kept)) for side in ("toxic", "other"))
+        prior = F.greatest(F.lit(FLOOR), PRIOR * (y1 + y0) / (n1 + n0 + 1))
+        side = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
+        weight = side(y1, n1) - side(y0, n0)
+        z = weight / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+        weights.append(F.when((y1 + y0 >= 5) & (F.abs(z) >= LEAST_Z), weight).alias("w" if left_out is None else f"w{left_out}"))
+    names = ["w", *[f"w{f}" for f in range(FOLDS)]]
+    return counts.select("token", *weights).where(F.coalesce(*names).isNotNull())
+
+
+def _read(significant: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and weights of a written table, from all parts and without each, in blocks; 16 bytes a token
+    in the driver and in each worker."""
     blocks = max(1, -(-significant.count() // READ_TOKENS))
-    parts = [significant.where(F.pmod("token", F.lit(blocks)) == i).select("token", "weight").toArrow() for i in range(blocks)]
-    token, weight = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("token", "weight"))
-    return token.view(np.uint64), weight
+    parts = [significant.where(F.pmod("token", F.lit(blocks)) == i).toArrow() for i in range(blocks)]
+    out = []
+    for name in ("w", *[f"w{f}" for f in range(FOLDS)]):
+        token, weight = (np.concatenate([p.filter(p[name].is_valid()).column(c).to_numpy() for p in parts]) for c in ("token", name))
+        out.append((token.view(np.uint64), weight))
+    return out
 
 
 class Scorer:
@@ -124,11 +176,12 @@ class Scorer:
         return weight
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
-        level = np.log(self.k * n + 1)
-        beyond = sorted((self.lam * s - level for _, _, s in segments), reverse=True)
-        if not beyond:
+        """How surprising all segments together are; of none above the level, what the best falls short of it."""
+        if not segments:
             return LOW
-        return float(np.clip(beyond[0] + PART * sum(max(0.0, x) for x in beyond[1 : 1 + FURTHER]), LOW, HIGH))
+        excess = self.lam * np.array([s for _, _, s in segments]) - np.log(self.k * n + 1)
+        over = excess[excess > 0].sum()
+        return float(min(HIGH, np.interp(over, _SUM, _SURPRISE)) if over > 0 else max(LOW, excess.max()))
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
         centres = LOW + (np.arange(BINS) + 0.5) * (HIGH - LOW) / BINS
@@ -160,30 +213,58 @@ def _texts(scorer: Scorer, column: pa.Array):
     """For each text: its words' weights less the drift, and the words' byte ranges."""
     data, offsets = wordhash.buffers(column)
     for i, j in wordhash.steps(offsets):
-        part = data[offsets[i] : offsets[j]]
-        starts, ends, first, kinds = _tokens(part, offsets[i : j + 1] - offsets[i])
+        starts, ends, first, kinds = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         weights = scorer.word_weights(kinds) - DRIFT
         for r in range(j - i):
             a, b, lead = first[r], first[r + 1], offsets[i + r] - offsets[i]
             yield weights[a:b], starts[a:b] - lead, ends[a:b] - lead
 
 
-def _rows(train: DataFrame, shared) -> DataFrame:
-    """Per training text: toxic, words, best segment, and for each of GRID the sum of exp(lambda weight)."""
+def _apart(scorers: list[Scorer], column: pa.Array, fold: np.ndarray):
+    """For each text: its words' weights by the whole model, and by the one that was learned without its part."""
+    data, offsets = wordhash.buffers(column)
+    for i, j in wordhash.steps(offsets):
+        _, _, first, kinds = _tokens(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        whole, apart, of = scorers[0].word_weights(kinds) - DRIFT, np.zeros(len(kinds[0])), np.repeat(fold[i:j], np.diff(first))
+        for f in range(FOLDS):
+            apart[of == f] = scorers[1 + f].word_weights([k[of == f] for k in kinds]) - DRIFT
+        for r in range(j - i):
+            yield whole[first[r] : first[r + 1]], apart[first[r] : first[r + 1]]
+
+
+def _moments(train: DataFrame, shared) -> DataFrame:
+    """Over the texts that aren't toxic, by model: texts, words, and for each of GRID the sums of
+    exp(lambda weight) over words and of n exp(-lambda best segment) over texts."""
 
     def run(batches):
-        scorer = shared.value
+        total = np.zeros((1 + FOLDS, 2 + 2 * len(GRID)))
         for batch in batches:
-            n, best, sums = [], [], []
-            for weights, _, _ in _texts(scorer, batch.column(0)):
-                found = segments(weights)
-                n.append(len(weights))
-                best.append(max((s for _, _, s in found), default=0.0))
-                values, times = np.unique(weights, return_counts=True)
-                sums.append((np.exp(np.outer(GRID, values)) @ times).tolist() if len(values) else [0.0] * len(GRID))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(sums, pa.list_(pa.float64()))], names=["toxic", "n", "best", "sums"])
+            fold = batch.column(1).to_numpy()
+            for f, pair in zip(fold.tolist(), _apart(shared.value, batch.column(0), fold)):
+                for model, weights in zip((0, 1 + f), pair):
+                    if len(weights):
+                        values, times = np.unique(weights, return_counts=True)
+                        best = max((s for _, _, s in segments(weights)), default=0.0)
+                        total[model] += np.concatenate([[1, len(weights)], np.exp(np.outer(GRID, values)) @ times, len(weights) * np.exp(-GRID * best)])
+        yield pa.RecordBatch.from_arrays([pa.array(range(1 + FOLDS), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["model", "sums"])
+
+    return train.where(~F.col("toxic")).select("text", "fold").mapInArrow(run, "model int, sums array<double>")
+
+
+def _spread(train: DataFrame, shared) -> DataFrame:
+    """(toxic, bin, n): texts by their evidence from the model that was learned without their part."""
+
+    def run(batches):
+        total = np.zeros((2, BINS), np.int64)
+        for batch in batches:
+            fold, toxic = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(int)
+            for f, y, (_, weights) in zip(fold.tolist(), toxic.tolist(), _apart(shared.value, batch.column(0), fold)):
+                e = shared.value[1 + f].evidence(segments(weights), len(weights))
+                total[y, min(BINS - 1, int((e - LOW) / (HIGH - LOW) * BINS))] += 1
+        y, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(total[y, at])], names=["toxic", "bin", "n"])
 
-    return train.mapInArrow(run, "toxic boolean, n long, best double, sums array<double>")
+    return train.select("text", "fold", "toxic").mapInArrow(run, "toxic int, bin int, n long")
 
 
 def _monotone(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -213,24 +294,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("id", "text", "toxic")
     train = _without_copies(train)
     work = Tables(spark, "toxicity")
-    scorer = Scorer(*_read(work.write("significant", _log_odds(work.write("counts", _presence(train))))))
-    rows = _rows(train, spark.sparkContext.broadcast(scorer))
-    clean = rows.where(~F.col("toxic"))
-    total = clean.agg(F.sum("n").alias("n"), *[F.sum(F.get("sums", F.lit(i))).alias(f"g{i}") for i in range(len(GRID))]).first()
-    if total["n"]:
-        mean = np.array([total[f"g{i}"] for i in range(len(GRID))]) / total["n"]
-        above = np.flatnonzero(mean >= 1)
-        scorer.lam = float(GRID[max(0, above[0] - 1)]) if len(above) else float(GRID[-1])
-        k = clean.where("n > 0").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-scorer.lam * F.col("best"))).alias("y")).first()
-        scorer.k = float(k["m"] / k["y"]) if k["m"] and k["y"] else 1.0
-    evidence = score_texts(train, scorer, id_col="toxic", text_col="text").select("toxic", "evidence")
-    width = (HIGH - LOW) / BINS
-    bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("evidence") - LOW) / width)).cast("int")
+    scorers = [Scorer(*x) for x in _read(work.write("significant", _log_odds(work.write("counts", _presence(train)))))]
+    work.drop("counts", "significant")
+    shared = spark.sparkContext.broadcast(scorers)
+    sums = _moments(train, shared).select("model", F.posexplode("sums").alias("i", "x")).groupBy("model", "i").agg(F.sum("x").alias("x")).collect()
+    shared.destroy()
+    moments = np.zeros((1 + FOLDS, 2 + 2 * len(GRID)))
+    for r in sums:
+        moments[r["model"], r["i"]] = r["x"]
+    for scorer, (m, n, *rest) in zip(scorers, moments):
+        if n:
+            above = np.flatnonzero(np.array(rest[: len(GRID)]) / n >= 1)
+            at = max(0, above[0] - 1) if len(above) else len(GRID) - 1
+            scorer.lam, y = float(GRID[at]), rest[len(GRID) + at]
+            scorer.k = float(m / y) if y else 1.0
+    shared = spark.sparkContext.broadcast(scorers)
     counts = np.zeros((2, BINS))
-    for r in evidence.groupBy("toxic", bin_.alias("bin")).count().collect():
-        counts[int(r["toxic"]), r["bin"]] = r["count"]
-    scorer.curve = _monotone(counts[1], counts[0])
-    return scorer
+    for r in _spread(train, shared).groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
+        counts[r["toxic"], r["bin"]] = r["n"]
+    shared.destroy()
+    scorers[0].curve = (1 - RISE) * _monotone(counts[1], counts[0]) + RISE * np.arange(1, BINS + 1) / (BINS + 1)
+    return scorers[0]
 
 
 def score_texts(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -100,8 +100,21 @@ def between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((total[ends] - total[starts]) * _powers(len(total), _INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
+def blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of words that lie within about STEP_BYTES each, so that a long text is hashed in pieces."""
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, "right")))
+        yield i, j
+        i = j
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return between(sums(data), starts, ends)
+    out = np.zeros(len(starts), np.uint64)
+    for i, j in blocks(starts, ends):
+        base = starts[i]
+        out[i:j] = between(sums(data[base : ends[j - 1]]), starts[i:j] - base, ends[i:j] - base)
+    return out
 
 
 def grams(words: np.ndarray, k: int) -> np.ndarray:

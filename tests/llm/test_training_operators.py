@@ -1,3 +1,4 @@
+import collections
 import random
 
 import numpy as np
@@ -68,6 +69,43 @@ def test_similar_sets_without_pivots_find_chains(spark):
     assert got == brute.similar(texts)
 
 
+@pytest.mark.parametrize("tile", [jaccard.TILE, 1500])
+def test_similar_sets_of_near_copies_without_their_original(spark, monkeypatch, tile):
+    """Few of them link, and only with some: no pivot settles the group, whatever the size of the tiles."""
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    rng = random.Random(15)
+    texts = {}
+    for group, changes in enumerate((2, 2, 3)):
+        base = words(rng, 120, 10**6)
+        for i in range(40):
+            near = list(base)
+            for _ in range(changes):
+                near[rng.randrange(len(near))] = f"new{rng.randrange(60)}"
+            texts[1000 * group + 7 * i + 1] = " ".join(near)
+    want = brute.similar(texts)
+    assert 5 < len({c for _, c in want.values()}) < 115
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_sets(frame(spark, texts)).collect()} == want
+
+
+def test_similar_sets_without_a_probability(spark, corpus):
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_sets(frame(spark, corpus), exact=True).collect()}
+    assert got == brute.similar(corpus)
+
+
+def test_overlaps_are_summed_over_the_fragments(monkeypatch):
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(4)]
+    sets += [np.unique(np.concatenate([sets[0][::3], sets[1][::2]])), sets[2]]
+    flat = np.concatenate(sets)
+    order = np.argsort(flat)
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order]
+    for at_once in (1 << 20, 7):
+        monkeypatch.setattr(jaccard, "AT_ONCE", at_once)
+        for x in sets:
+            assert jaccard.overlaps(x, flat[order], rows, len(sets), 0).tolist() == [len(np.intersect1d(x, y)) for y in sets]
+    assert jaccard.overlaps(sets[3], flat[order], rows, len(sets), 301).sum() == 0
+
+
 def test_similar_sets_edges(spark):
     empty = jaccard.similar_sets(frame(spark, {}).where("false"))
     assert empty.columns == ["doc_id", "n_shingles", "component_id"] and empty.count() == 0
@@ -365,12 +403,64 @@ def test_texts_that_share_a_passage_all_count_in_training(spark):
 def test_every_significant_token_is_kept(spark, monkeypatch):
     n = 70_000
     toxic = F.when(F.col("id") % 2 == 0, 200).otherwise(0)
-    counts = spark.range(n).select(F.col("id").alias("token"), toxic.alias("toxic"), (200 - toxic).alias("other"))
+    counts = spark.range(n).select(F.col("id").alias("token"), *[x.alias(f"{side}{f}") for f in range(toxicity.FOLDS) for side, x in (("toxic", toxic), ("other", 200 - toxic))])
     significant = toxicity._log_odds(counts)
     assert significant.count() == n
     monkeypatch.setattr(toxicity, "READ_TOKENS", 20_000)
-    tokens_, weights = toxicity._read(significant)
-    assert sorted(tokens_.tolist()) == list(range(n)) and all((w > 0) == (t % 2 == 0) for t, w in zip(tokens_, weights))
+    for tokens_, weights in toxicity._read(significant):
+        assert sorted(tokens_.tolist()) == list(range(n)) and all((w > 0) == (t % 2 == 0) for t, w in zip(tokens_, weights))
+
+
+def test_log_odds_follow_the_definition(spark):
+    """Weights and z-scores from plain sets of tokens, each part left out once, whatever the steps of the count."""
+    rng, texts = random.Random(16), []
+    for i in range(240):
+        w = words(rng, 30, 60)
+        texts.append((" ".join(w + (["zap", "zonk" + "abc"[i % 3]] if i % 6 == 0 else [])), i % 6 == 0))
+    train = toxicity._without_copies(spark.createDataFrame(texts, "text string, toxic boolean"))
+    rows = [(r.text.lower().split(), r.toxic, r.fold) for r in train.collect()]
+    want = []
+    for left_out in (None, *range(toxicity.FOLDS)):
+        count = {True: collections.Counter(), False: collections.Counter()}
+        for w, toxic, fold in rows:
+            if fold != left_out:
+                count[toxic].update({(0, x) for x in w} | {(k, x[:k]) for x in w for k in toxicity.STEMS if len(x) > k})
+        n1, n0 = (sum(count[y].values()) for y in (True, False))
+        found = []
+        for t in count[True] | count[False]:
+            y1, y0 = count[True][t], count[False][t]
+            p = max(toxicity.FLOOR, toxicity.PRIOR * (y1 + y0) / (n1 + n0 + 1))
+            w = np.log((y1 + p) / (n1 + toxicity.PRIOR - y1 - p)) - np.log((y0 + p) / (n0 + toxicity.PRIOR - y0 - p))
+            if y1 + y0 >= 5 and abs(w / np.sqrt(1 / (y1 + p) + 1 / (y0 + p))) >= toxicity.LEAST_Z:
+                found.append(w)
+        want.append(sorted(found))
+    for gather in (1 << 18, 50):
+        toxicity.GATHER, before = gather, toxicity.GATHER
+        got = toxicity._read(toxicity._log_odds(toxicity._presence(train)))
+        toxicity.GATHER = before
+        assert len(want[0]) >= 3 and all(sorted(w.tolist()) == pytest.approx(x) for (_, w), x in zip(got, want, strict=True))
+
+
+def test_surprise_is_the_tail_of_a_sum_of_excesses():
+    rng = np.random.default_rng(1)
+    totals = np.array([rng.exponential(size=k).sum() for k in rng.poisson(1, 200_000)])
+    for s in (0.25, 1.0, 3.0, 6.0):
+        assert np.exp(-np.interp(s, toxicity._SUM, toxicity._SURPRISE)) == pytest.approx((totals >= s).mean(), rel=0.05)
+    scorer = toxicity.Scorer(np.zeros(0, np.uint64), np.zeros(0))
+    e = [scorer.evidence([(0, 1, s) for s in x], 10) for x in ([], [0.1], [1.2], [1.2] * 3, [1.2] * 6, [9.0])]
+    assert e == sorted(e) and len(set(e)) == len(e)  # every further segment above the level counts
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(17)
+    text = pa.array([" ".join(words(rng, 3000)) + " é" + "y" * 900 + ", z", "short one"])
+    whole = list(wordhash.documents(text, wordhash.NOT_ALNUM))
+    data, offsets = wordhash.buffers(text)
+    tokens_ = toxicity._tokens(data, offsets)
+    monkeypatch.setattr(wordhash, "STEP_BYTES", 200)
+    for a, b in zip(whole, wordhash.documents(text, wordhash.NOT_ALNUM), strict=True):
+        assert (a == b).all()
+    assert all((a == b).all() for a, b in zip(tokens_[3], toxicity._tokens(data, offsets)[3], strict=True))
 
 
 def test_similar_sets_count_repeated_rows_once(spark):
