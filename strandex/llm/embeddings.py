@@ -142,7 +142,8 @@ def _compare(threshold: float, axes):
             i, j = rows[i], right[j]
             if same:
                 i, j = i[i != j], j[i != j]
-            exact = np.concatenate([np.einsum("ij,ij->i", given[i[p : p + 65536]], given[j[p : p + 65536]]) for p in range(0, len(i), 65536)] or [np.zeros(0)])
+            some = max(1, NUMBERS // given.shape[1])  # pairs at once, so that their vectors are as large as a tile
+            exact = np.concatenate([np.einsum("ij,ij->i", given[i[p : p + some]], given[j[p : p + some]]) for p in range(0, len(i), some)] or [np.zeros(0)])
             i, j = i[exact >= threshold], j[exact >= threshold]
             np.add.at(count, i, weights[j])
             if not same:
@@ -225,6 +226,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         found = same.join(n, "id", "left").join(classes.withColumnRenamed("v", "id"), "id", "left")
         found = found.select(F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("c", "id").alias("c"))
         found = work.write("found", found)
+        work.only("found")
     else:
         found = spark.createDataFrame([], "_vector array<double>, n_links long, c long")
     out = rows.join(found, F.col("id").isNotNull() & (F.col("vector") == F.col("_vector")), "left")

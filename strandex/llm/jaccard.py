@@ -177,6 +177,7 @@ def components(links: DataFrame, work: Tables, name: str) -> DataFrame:
         else:
             new = labels.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c"))
         labels = work.write(f"{name}_labels{step}", new)
+        work.drop(f"{name}_hooks{step}", *[f"{name}_jump{step}_{k}" for k in range(jump)], *[f"{name}_labels{step - 1}"] * (step > 0))
         step += 1
 
 
@@ -361,6 +362,6 @@ def similar_sets(docs: DataFrame, n: int = 5, percent: int = 75, id_col: str = "
     work.drop("open")
     # Back from sets to documents.
     named = work.write("named", sets.select("n", "s1", "s2", "id").join(labels.withColumnRenamed("v", "id"), "id", "left").select(F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), F.coalesce("c", "id").alias("c")))
-    work.drop("sets")
+    work.only("profile", "named")
     out = profile.join(named, (F.col("n") == F.col("_n")) & (F.col("s1") == F.col("_s1")) & (F.col("s2") == F.col("_s2")), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("c", "id")).alias("component_id"))

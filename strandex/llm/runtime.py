@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN_ROOT: dict[str, str] = {}
+_OPEN: list[Tables] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where that is unset (tests) a folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset a folder of our own, in local mode only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _OWN_ROOT.setdefault("dir", f"file://{tempfile.mkdtemp(prefix='strandex-')}")
     return root
 
@@ -28,17 +31,38 @@ class Tables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
+        _OPEN.append(self)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.base}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        self.names -= set(names)
         for name in names:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def only(self, *names: str) -> None:
+        """Removes all tables but these, which the caller's result still reads."""
+        self.drop(*self.names - set(names))
+
+
+def opened() -> int:
+    """How many operator calls have opened tables so far (see ``sweep``)."""
+    return len(_OPEN)
+
+
+def sweep(since: int, keep: Tables) -> None:
+    """Removes the tables of all calls since then but one's: what read them has been written."""
+    for tables in _OPEN[since:]:
+        if tables is not keep:
+            tables.only()
+    _OPEN[since:] = []
+
 
 def settled(df: DataFrame) -> DataFrame:
     """``df`` behind a generator of one row: a caller's filter on its columns stays above. Pushed below, a

@@ -33,7 +33,7 @@ GRID = np.round(np.arange(1, 31) * 0.1, 1)
 #: Bins of the evidence for the calibration, and what they rise by in all, so that more evidence scores more.
 LOW, HIGH, BINS, RISE = -10.0, 40.0, 100, 1e-3
 #: Parts of the training texts for cross-fitting.
-FOLDS = 3
+FOLDS = 5
 #: Rows of token counts that a task gathers before it merges them, and that it sends on at most.
 GATHER, SEND = 1 << 18, 1 << 19
 #: Labels broadcast to the texts at most (16 bytes each); more are joined by a shuffle.
@@ -114,10 +114,10 @@ def _presence(train: DataFrame) -> DataFrame:
     return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
-def _without_copies(train: DataFrame) -> DataFrame:
+def _without_copies(train: DataFrame, work: Tables) -> DataFrame:
     """(text, toxic, fold), once for exact copies with the same label; every other text stays."""
     fold = F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int")
-    return Tables(train.sparkSession, "toxicity").write("train", train.select("text", "toxic").distinct().withColumn("fold", fold))
+    return work.write("train", train.select("text", "toxic").distinct().withColumn("fold", fold))
 
 
 def _log_odds(counts: DataFrame) -> DataFrame:
@@ -132,7 +132,8 @@ def _log_odds(counts: DataFrame) -> DataFrame:
         side = lambda y, n: F.log((y + prior) / (n + PRIOR - y - prior))
         weight = side(y1, n1) - side(y0, n0)
         z = weight / F.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
-        weights.append(F.when((y1 + y0 >= 5) & (F.abs(z) >= LEAST_Z), weight).alias("w" if left_out is None else f"w{left_out}"))
+        least = LEAST_Z * (len(kept) / FOLDS) ** 0.5  # z grows with the root of the number of texts
+        weights.append(F.when((y1 + y0 >= 5) & (F.abs(z) >= least), weight).alias("w" if left_out is None else f"w{left_out}"))
     names = ["w", *[f"w{f}" for f in range(FOLDS)]]
     return counts.select("token", *weights).where(F.coalesce(*names).isNotNull())
 
@@ -292,8 +293,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if marks.count() <= BROADCAST_LABELS:
         marks = F.broadcast(marks)
     train = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("_id")).select("id", "text", "toxic")
-    train = _without_copies(train)
     work = Tables(spark, "toxicity")
+    train = _without_copies(train, work)
     scorers = [Scorer(*x) for x in _read(work.write("significant", _log_odds(work.write("counts", _presence(train)))))]
     work.drop("counts", "significant")
     shared = spark.sparkContext.broadcast(scorers)
@@ -313,6 +314,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for r in _spread(train, shared).groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
         counts[r["toxic"], r["bin"]] = r["n"]
     shared.destroy()
+    work.only()
     scorers[0].curve = (1 - RISE) * _monotone(counts[1], counts[0]) + RISE * np.arange(1, BINS + 1) / (BINS + 1)
     return scorers[0]
 
