@@ -65,13 +65,20 @@ def leaks(docs, items, span=10):
 
 def dedup_lines(docs):
     """{doc: (text, lines, removed)}; docs: {id: text}, in the order of ids."""
-    lines = {d: re.split(r"(?<=\n)|(?<=[.!?] )", t) for d, t in sorted(docs.items()) if t is not None}
+    lines = {d: re.split(r"(?<=\n)|(?<=[.!?,;:] )", t) for d, t in sorted(docs.items()) if t is not None}
     first, gone = {}, collections.defaultdict(set)
     for d, l in lines.items():
         key = [x.strip(" \n\r\t\f\x0b") for x in l]
         for k in range(len(l) - 2):
             if first.setdefault(tuple(key[k : k + 3]), (d, k)) != (d, k):
                 gone[d] |= {k, k + 1, k + 2}
+    for d, g in gone.items():
+        for k in sorted(g):
+            if k - 1 not in g:
+                end = next(e for e in range(k, len(lines[d]) + 1) if e not in g)
+                run = "".join(lines[d][k:end])
+                if len(run) < 80 and run.count("\n") < 2:
+                    gone[d] = gone[d] - set(range(k, end))
     out = {d: ("".join(x for k, x in enumerate(l) if k not in gone[d]), len(l), len(gone[d])) for d, l in lines.items()}
     return out | {d: (None, 0, 0) for d, t in docs.items() if t is None}
 

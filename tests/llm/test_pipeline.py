@@ -71,6 +71,19 @@ def test_run_equals_the_stages(spark, stages):
     assert {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()} == out[-1][1]
 
 
+def test_rows_without_an_id_and_repeated_rows(spark, stages, tmp_path):
+    """A verdict holds for a text: rows without an id go by it too, and one row of a repeated one stays."""
+    folder, texts, item, _ = stages
+    rows = [(None, texts[10], "en", "s0", 1), (None, texts[11], "en", "s0", 1), (3, texts[3], "en", "s3", 1), (3, texts[3], "en", "s3", 1), (None, "clean " + item, "en", "s1", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").unionByName(spark.read.parquet(f"{folder}/documents.parquet")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.drop_toxic(spark, docs, folder)
+    assert sorted(r.text[:20] for r in kept.where("doc_id is null").collect()) == sorted([texts[11][:20], ("clean " + item)[:20]])
+    assert kept.where("doc_id = 3").count() == 3
+    assert corpus_pipeline.dedup_documents(spark, kept, folder).where("doc_id = 3").count() == 1
+    assert [r.text for r in corpus_pipeline.drop_leaks(spark, kept, folder).where("doc_id is null").collect()] == [texts[11]]
+
+
 def test_empty_tables(spark, stages, tmp_path):
     folder = stages[0]
     for t in ("documents", "benchmark", "labels"):
