@@ -4,17 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from strandex.functions.vectors import all_of, finite
+from strandex.sources import sinks
 
-#: Rows of a side that is broadcast at most.
-BROADCAST_ROWS = 2_000_000
+#: Rows and bytes of a side that is broadcast at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 2_000_000, 64 << 20
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint if the table is known to be small; else the plain table, joined by a shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bytes(c: T.StructField) -> Column:
+    if isinstance(c.dataType, T.ArrayType):
+        return 8 * F.coalesce(F.size(F.col(f"`{c.name}`")), F.lit(0)).cast("long")
+    return F.coalesce(F.octet_length(F.col(f"`{c.name}`")), F.lit(0)).cast("long") if isinstance(c.dataType, T.StringType) else F.lit(8).cast("long")
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint if the table is known to be small, in rows and in bytes; else the plain table, joined by a shuffle."""
+    row = sum((_bytes(c) for c in df.schema.fields), F.lit(0).cast("long"))
+    seen = df.select(row.alias("b")).limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if seen["n"] <= most and seen["b"] <= size else df
 
 
 def first_seen(df: DataFrame, key: str, ordinal: str) -> DataFrame:
@@ -35,11 +44,19 @@ def shard(df: DataFrame, rank: int, world: int, ordinal: str) -> DataFrame:
     return df.where(F.pmod(F.col(ordinal), F.lit(world)) == rank)
 
 
+def ranged(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``df`` in range partitions, whose number is in ``_part``. Written to the shared folder: the ranges come
+    from a sample, so that a plan that is run again may cut them elsewhere."""
+    path = sinks.scratch(df.sparkSession, "ranged")
+    parts = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts.write.parquet(path)
+    return df.sparkSession.read.schema(parts.schema).parquet(path)
+
+
 def ordinals(df: DataFrame, order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Contiguous numbers from 0 in the given total order. Rows are numbered inside range partitions
     and shifted by the sizes of the partitions before, so that no task holds more than its own rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    inside = ranged(df, order).withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
     sizes = inside.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
     return inside.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, (F.col("_before") + F.col("_n") - 1).cast("long")).drop("_part", "_n", "_before")

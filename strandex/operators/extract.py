@@ -70,11 +70,12 @@ def with_padding_length(df: DataFrame) -> DataFrame:
     return df.join(per_gene, "gene_id")
 
 
-def embed(df: DataFrame, make_model: Callable[[], Model] | None = None, limit: int = sequence.LIMIT) -> DataFrame:
+def embed(df: DataFrame, make_model: Callable[[], Model] | None = None, package: Limits = Limits()) -> DataFrame:
     """gene_id, subject, field, vector: both haplotypes' pooled tracks side by side, in long form.
 
     ``df``: gene_id, subject, ref_seq, hap1, hap2. ``make_model`` runs once per worker. Track values
-    never leave the pass. Longer sequences than the model takes give one row with a status.
+    never leave the pass. Longer sequences than the
+    package takes give one row with a status, and no batch is larger than it takes.
     """
     rows = with_padding_length(df).select("gene_id", "subject", "hap1", "hap2", "pad")
     table = np.full(0x110000, sequence.UNKNOWN, np.int16)
@@ -93,10 +94,11 @@ def embed(df: DataFrame, make_model: Callable[[], Model] | None = None, limit: i
         for batch in batches:
             out = []
             for (gene, pad), group in batch.groupby(["gene_id", "pad"], sort=False):
-                if pad > limit:
-                    out += [(gene, s, None, None, "too_long") for s in group["subject"]]
+                status = package.status(int(pad))
+                if status != "ok":
+                    out += [(gene, s, None, None, status) for s in group["subject"]]
                     continue
-                step = batch_rows(int(pad))
+                step = min(batch_rows(int(pad)), package.batch)
                 for k in range(0, len(group), step):
                     part, both = group.iloc[k : k + step], []
                     for hap in ("hap1", "hap2"):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from strandex.functions.vectors import finite
+from strandex.operators.cohort import ranged, small
 
 CONFIG = ("embed_type", "gene_pca_id", "cell_pca_id")
 #: Fixed value: level below which a result is significant.
@@ -18,15 +19,30 @@ def q_name(p_column: str) -> str:
 
 
 def with_q_values(df: DataFrame, p_columns: Sequence[str], config: Sequence[str] = CONFIG) -> DataFrame:
-    """A q-value column for each present p column, within each configuration; nonfinite p give null."""
+    """A q-value column for each present p column, within each configuration; nonfinite p give null.
+
+    Rows go to range partitions by configuration and p. Ranks are counted inside a partition and shifted
+    by what the configuration has in those before; the least p * m / rank from a row upward is the least
+    inside its partition or in those after. A configuration is spread over as many tasks as it needs.
+    """
     for p in [c for c in p_columns if c in df.columns]:
         df = df.withColumn("_p", F.when(finite(F.col(p).cast("double")), F.col(p).cast("double")))
-        group = Window.partitionBy(*config, F.col("_p").isNull())
-        rank, m = F.row_number().over(group.orderBy("_p")), F.count(F.lit(1)).over(group)
-        step = df.withColumn("_step", F.col("_p") * m / rank)
+        none = df.where(F.col("_p").isNull()).withColumn(q_name(p), F.lit(None).cast("double")).drop("_p")
+        table = ranged(df.where(F.col("_p").isNotNull()), [*config, "_p"])
+        key = ["_part", *config]
+        over, inside = Window.partitionBy(*config).orderBy("_part"), Window.partitionBy(*key)
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in key]
+        of = lambda parts: parts.withColumnsRenamed({c: f"_of_{c}" for c in key})
+        sizes = table.groupBy(*key).agg(F.count(F.lit(1)).alias("_size"))
+        sizes = sizes.withColumn("_m", F.sum("_size").over(Window.partitionBy(*config))).withColumn("_before", F.coalesce(F.sum("_size").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        rank = F.col("_before") + F.row_number().over(inside.orderBy("_p"))
+        step = table.join(small(of(sizes.drop("_size"))), same).withColumn("_step", F.col("_p") * F.col("_m") / rank).drop("_m", "_before", *[f"_of_{c}" for c in key])
+        after = step.groupBy(*key).agg(F.min("_step").alias("_least")).withColumn("_after", F.min("_least").over(over.rowsBetween(1, Window.unboundedFollowing)))
         # From the largest p down: a frame that only grows is summed once, one that shrinks again for each row.
-        upward = F.min("_step").over(group.orderBy(F.desc("_p"), "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        df = step.withColumn(q_name(p), F.when(F.col("_p").isNotNull(), F.least(F.lit(1.0), upward))).drop("_p", "_step")
+        upward = F.min("_step").over(inside.orderBy(F.desc("_p"), "_step").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = step.withColumn("_upward", upward).join(small(of(after.drop("_least"))), same)
+        found = found.withColumn(q_name(p), F.least(F.lit(1.0), "_upward", "_after"))  # least() passes over nulls
+        df = found.drop("_p", "_step", "_upward", "_after", *[f"_of_{c}" for c in key], "_part").unionByName(none)
     return df
 
 

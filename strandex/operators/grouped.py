@@ -76,7 +76,7 @@ def test_group(frame: pd.DataFrame, covariates: Sequence[str], settings, cell_se
         failure = str(error)
     out, at = [], iter(rows)
     for cell in cell_settings:
-        reduced, cell_info, cell_failure = base, {"cell_pca_components": 0}, None
+        reduced, cell_info, cell_failure, known = base, {"cell_pca_components": 0}, None, {}
         if cell is not None:
             try:
                 scores, k, share = _cell_scores(digest, cell, np.array(frame["cell_vector"].tolist(), np.float64))
@@ -103,7 +103,7 @@ def test_group(frame: pd.DataFrame, covariates: Sequence[str], settings, cell_se
             if "LRT" in tests:
                 if binary:
                     try:
-                        row.update(models.likelihood_ratio(y, reduced, scores, max_iter, tol))
+                        row.update(models.likelihood_ratio(y, reduced, scores, max_iter, tol, known))
                     except (ValueError, np.linalg.LinAlgError) as error:
                         row.update(lrt_status="failed", lrt_error=str(error))
                 else:

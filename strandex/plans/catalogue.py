@@ -7,15 +7,17 @@ with pseudo p-values.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandex.functions import models, sequence, tails, vectors
 from strandex.operators import aggregates, cohort, extract, fdr, grouped
 from strandex.plans import run as lifecycle
-from strandex.sources import tables
+from strandex.sources import sinks, tables
 from strandex.streaming import samples
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,16 +222,16 @@ def q_standardize(spark, sf):
     return aggregates.standardized(d, ["z0", "constant"]).select("vec_id", _r6("z0").alias("z0"))
 
 
-@_query("SELECT round(sum(z * z), 6) AS inertia, count(DISTINCT i) AS features FROM (SELECT i, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(range(1, 9)) AS i FROM embeddings)) WINDOW w AS (PARTITION BY i))")
+@_query("SELECT round(sum(z * z), 6) AS inertia, count(DISTINCT i) AS features FROM (SELECT i, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z FROM (SELECT i, embedding[i]::DOUBLE AS x FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings)) WINDOW w AS (PARTITION BY i))")
 def q_total_inertia(spark, sf):
-    cols = [f"x{i}" for i in range(8)]
+    cols = [f"x{i}" for i in range(64)]
     d = aggregates.standardized(_t(spark, sf, "embeddings").select(*[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)]), cols)
     return d.agg(_r6(sum((F.sum(F.col(c) * F.col(c)) for c in d.columns), F.lit(0.0))).alias("inertia"), F.lit(len(d.columns)).cast("long").alias("features"))
 
 
-@_query("SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(sum(a.x * b.x), 6) AS value FROM (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS i FROM embeddings)) a JOIN (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, 9)) AS i FROM embeddings)) b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2")
+@_query("SELECT (a.i - 1)::INT AS i, (b.i - 1)::INT AS j, round(sum(a.x * b.x), 6) AS value FROM (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)) a JOIN (SELECT vec_id, i, embedding[i]::DOUBLE AS x FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)) b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2")
 def q_gram_entries(spark, sf):
-    return aggregates.gram(_t(spark, sf, "embeddings"), "embedding", 8).select("i", "j", _r6("value").alias("value"))
+    return aggregates.gram(_t(spark, sf, "embeddings"), "embedding").select("i", "j", _r6("value").alias("value"))
 
 
 # Sequences
@@ -312,9 +314,15 @@ def q_hap_concat(spark, sf):
     return _ids(spark, sf).select("p_partkey", F.posexplode(both).alias("pos", "x")).select("p_partkey", "pos", _r6("x").alias("x"))
 
 
-@_query()
+@_query(f"""WITH h AS (SELECT p_partkey, p_brand, 1 AS hap, p_type AS s FROM part UNION ALL SELECT p_partkey, p_brand, 2, p_name FROM part),
+i AS (SELECT p_partkey, p_brand, hap, length(s) AS n, coalesce(nullif(list_position({_VOCAB_SQL}, ch), 0), 19) AS id FROM (SELECT *, unnest(string_split(s, '')) AS ch FROM h)),
+t AS (SELECT name, k, unnest(range(width)) AS c, width FROM (VALUES ('cage', 2, 0), ('dnase', 1, 1), ('atac', 1, 2), ('rna_seq', 3, 3)) v(name, width, k)),
+m AS (SELECT p_partkey, p_brand, hap, name, width, c, sum((id * (c + 1) + k) % 7) AS total, max(n) AS n, max(k) AS k FROM i, t GROUP BY ALL),
+v AS (SELECT p_partkey, p_brand, name, max(width) * 2 AS width, sum(total / n) AS body, sum((total + (256 - n) * (k % 7)) / 256) AS head FROM m GROUP BY ALL)
+SELECT p_brand AS gene_id, p_partkey::VARCHAR AS subject, 'concat_' || name || '_mean' AS field, width::INT AS width, round(body, 6) AS total, 'ok' AS status FROM v
+UNION ALL SELECT p_brand, p_partkey::VARCHAR, 'concat_' || name || '_tss500_mean', width::INT, round(head, 6), 'ok' FROM v""")
 def q_extract_embeddings(spark, sf):
-    """Sequences through the stub model to pooled vectors, one Arrow pass."""
+    """Sequences through the stub model to pooled vectors of both haplotypes, one Arrow pass; the SQL is the stub's arithmetic."""
     p = _t(spark, sf, "part").select(F.col("p_brand").alias("gene_id"), F.col("p_partkey").cast("string").alias("participant_id"), F.col("p_type").alias("ref_seq"), F.col("p_type").alias("mutation_seq_1"), F.col("p_name").alias("mutation_seq_2"))
     out = extract.embed(tables.sequences(p))
     return out.select("gene_id", "subject", "field", F.size("vector").alias("width"), _r6(F.aggregate("vector", F.lit(0.0), lambda a, b: a + b)).alias("total"), "status")
@@ -500,6 +508,242 @@ def q_top_per_group(spark, sf):
     return _t(spark, sf, "part").withColumn("n", F.row_number().over(w)).where("n = 1").select("p_brand", F.col("p_partkey").alias("best"))
 
 
+# Tails and tests in closed form: even numerator degrees, full spans and two-level designs have one in SQL
+
+
+def _tail(function):
+    @F.pandas_udf("double")
+    def tail(*columns: pd.Series) -> pd.Series:
+        return pd.Series([function(*x) for x in zip(*columns)], dtype="float64")
+
+    return tail
+
+
+@_query("""WITH t AS (SELECT p_partkey, (p_partkey % 23 + 1) / 4.0 AS f, 2 * (1 + p_partkey % 3) AS df1, 5 + p_partkey % 400 AS df2 FROM part),
+x AS (SELECT *, df2 / (df2 + df1 * f) AS x, df2 / 2.0 AS a FROM t)
+SELECT p_partkey, round(log10(pow(x, a) * CASE df1 WHEN 2 THEN 1 WHEN 4 THEN 1 + a * (1 - x) ELSE 1 + a * (1 - x) + a * (a + 1) / 2 * (1 - x) * (1 - x) END), 6) AS log_p FROM x""")
+def q_f_tail(spark, sf):
+    k = F.col("p_partkey")
+    t = _t(spark, sf, "part").select(k, ((k % 23 + 1) / 4.0).alias("f"), (2 * (1 + k % 3)).cast("double").alias("df1"), (5 + k % 400).cast("double").alias("df2"))
+    return t.select(k, _r6(F.log10(_tail(tails.f_sf)("f", "df1", "df2"))).alias("log_p"))
+
+
+@_query("""WITH t AS (SELECT p_partkey, (p_partkey % 997) / 8.0 AS h, 1 + p_partkey % 3 AS m FROM part)
+SELECT p_partkey, round((-h + ln(CASE m WHEN 1 THEN 1 WHEN 2 THEN 1 + h ELSE 1 + h + h * h / 2 END)) / ln(10), 6) AS log_p FROM t""")
+def q_chi2_tail(spark, sf):
+    k = F.col("p_partkey")
+    t = _t(spark, sf, "part").select(k, ((k % 997) / 4.0).alias("x"), (2 * (1 + k % 3)).cast("double").alias("df"))
+    return t.select(k, _r6(F.log10(_tail(tails.chi2_sf)("x", "df"))).alias("log_p"))
+
+
+@_query("SELECT p_partkey, round((1 + p_partkey % 499) / 1000.0, 9) AS p FROM part")
+def q_normal_tail(spark, sf):
+    """z of p, and p again as half the chi-squared tail of z squared."""
+    p = (1 + F.col("p_partkey") % 499) / 1000.0
+    z = _t(spark, sf, "part").select("p_partkey", _tail(tails.normal_isf)(p).alias("z"), F.lit(1.0).alias("one"))
+    return z.select("p_partkey", F.round(_tail(tails.chi2_sf)(F.col("z") * F.col("z"), F.col("one")) / 2, 9).alias("p"))
+
+
+def _two_features(spark, sf):
+    """Five genes of two features; a cohort with a quantity, a three-level covariate and a binary label."""
+    e = _t(spark, sf, "embeddings")
+    v = F.slice("embedding", 1, 2).cast("array<double>")
+    features = e.select((F.col("label") % 5).cast("string").alias("gene_id"), F.lit("stored").alias("embed_type"), F.col("vec_id").alias("participant_id"), v.alias("vector"))
+    people = _t(spark, sf, "labels").join(_t(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
+    return features, people.select(F.col("doc_id").alias("participant_id"), F.col("n_chars").cast("double").alias("label"), (F.col("doc_id") % 3).cast("double").alias("age"))
+
+
+#: Rows (g, id, y, a, x, z) of the cohort: the quantity, the covariate, the two features.
+_TWO = "SELECT (label % 5)::VARCHAR AS g, vec_id AS id, n_chars::DOUBLE AS y, {a} AS a, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS z FROM embeddings JOIN labels ON vec_id = labels.doc_id JOIN documents ON vec_id = documents.doc_id"
+#: What is left of y, x and z beside the covariate, by group.
+_LEFT = "SELECT *, y - regr_slope(y, a) OVER w * a AS ry, x - regr_slope(x, a) OVER w * a AS rx, z - regr_slope(z, a) OVER w * a AS rz FROM e WINDOW w AS (PARTITION BY g)"
+_PARTIAL = "SELECT g, count(*) AS n, coalesce(regr_r2(y, a), 0) AS red, corr(ry, rx) AS c1, corr(ry, rz) AS c2, corr(rx, rz) AS c12 FROM r GROUP BY g"
+
+
+@_query(f"""WITH e AS ({_TWO.format(a='(vec_id % 3)::DOUBLE')}), r AS ({_LEFT}), c AS ({_PARTIAL}),
+p AS (SELECT *, (c1 * c1 + c2 * c2 - 2 * c1 * c2 * c12) / (1 - c12 * c12) AS pr FROM c),
+d AS (SELECT g, sha256(string_agg(id::VARCHAR, ',' ORDER BY id)) AS digest FROM e GROUP BY g),
+two AS (SELECT g, 'fixed_2' AS setting, n, 2 AS k, 1.0 AS share, red, pr, 2 AS df1, n - 4 AS df2 FROM p),
+s AS (SELECT *, sign(corr(x, z) OVER w) * (z - avg(z) OVER w) / stddev_samp(z) OVER w + (x - avg(x) OVER w) / stddev_samp(x) OVER w AS pc, abs(corr(x, z) OVER w) AS c FROM r WINDOW w AS (PARTITION BY g)),
+s2 AS (SELECT *, pc - regr_slope(pc, a) OVER (PARTITION BY g) * a AS rp FROM s),
+one AS (SELECT g, 'fixed_1' AS setting, count(*) AS n, 1 AS k, (1 + max(c)) / 2 AS share, regr_r2(y, a) AS red, pow(corr(ry, rp), 2) AS pr, 1 AS df1, count(*) - 3 AS df2 FROM s2 GROUP BY g),
+vary AS (SELECT g, 'variance_0.53' AS setting, n, CASE WHEN one.share > 0.53 THEN 1 ELSE 2 END AS k, CASE WHEN one.share > 0.53 THEN one.share ELSE 1.0 END AS share, one.red, CASE WHEN one.share > 0.53 THEN one.pr ELSE two.pr END AS pr,
+  CASE WHEN one.share > 0.53 THEN 1 ELSE 2 END AS df1, CASE WHEN one.share > 0.53 THEN one.df2 ELSE two.df2 END AS df2 FROM one JOIN two USING (g, n)),
+a AS (SELECT * FROM two UNION ALL SELECT * FROM one UNION ALL SELECT * FROM vary)
+SELECT g AS gene_id, 'stored' AS embed_type, setting AS gene_pca_id, 'none' AS cell_pca_id, 'dna_only' AS model, n AS n_samples, digest AS participant_ids_sha256, k::BIGINT AS gene_pca_components, 2::BIGINT AS gene_input_features, round(share, 6) AS gene_pca_explained_variance,
+  round(pr / df1 / ((1 - pr) / df2), 6) AS "F_obs", CASE WHEN df1 = 2 THEN round(pow(1 - pr, df2 / 2.0), 6) END AS p_two, df1::BIGINT AS df1, df2::BIGINT AS df2, 2::BIGINT AS rank_red, (2 + df1)::BIGINT AS rank_full,
+  round(red, 6) AS r2_red, round(1 - (1 - red) * (1 - pr), 6) AS r2_full, round((1 - red) * pr, 6) AS delta_r2, round(pr, 6) AS partial_r2, round(pr / (1 - pr), 6) AS cohen_f2, 'ok' AS status FROM a JOIN d USING (g)""")
+def q_partial_f_components(spark, sf):
+    """Partial F of principal components beside a covariate, by group: all ranks, shares and sizes of effect."""
+    settings = [models.parse_setting(x) for x in ("fixed:2", "fixed:1", "variance:0.53")]
+    rows = grouped.associate(*_two_features(spark, sf), settings, ("F",), ["age"], trait="n_chars")
+    names = "gene_id embed_type gene_pca_id cell_pca_id model n_samples participant_ids_sha256 gene_pca_components gene_input_features gene_pca_explained_variance F_obs df1 df2 rank_red rank_full r2_red r2_full delta_r2 partial_r2 cohen_f2 status".split()
+    return _rounded(rows.select(*names, F.when(F.col("df1") == 2, F.col("p_F")).alias("p_two")))
+
+
+@_query(f"""WITH e AS ({_TWO.format(a="embedding[3]::DOUBLE")}), r AS ({_LEFT}), c AS ({_PARTIAL}),
+plain AS (SELECT g, 'none' AS cell, 0 AS k, count(*) AS n, 0.0 AS red, (pow(corr(y, x), 2) + pow(corr(y, z), 2) - 2 * corr(y, x) * corr(y, z) * corr(x, z)) / (1 - pow(corr(x, z), 2)) AS pr, 1 AS rank FROM e GROUP BY g),
+beside AS (SELECT g, 'fixed_1' AS cell, 1 AS k, n, red, (c1 * c1 + c2 * c2 - 2 * c1 * c2 * c12) / (1 - c12 * c12) AS pr, 2 AS rank FROM c)
+SELECT g AS gene_id, cell AS cell_pca_id, CASE cell WHEN 'none' THEN 'dna_only' ELSE 'dna_cell' END AS model, k::BIGINT AS cell_pca_components, CASE k WHEN 1 THEN 1.0 END AS cell_pca_explained_variance, n AS n_samples,
+  round(pr / 2 / ((1 - pr) / (n - rank - 2)), 6) AS "F_obs", round(pow(1 - pr, (n - rank - 2) / 2.0), 6) AS "p_F", rank::BIGINT AS rank_red, round(red, 6) AS r2_red, round(pr, 6) AS partial_r2 FROM (SELECT * FROM plain UNION ALL SELECT * FROM beside)""")
+def q_cell_components(spark, sf):
+    """With and without components of a second vector, the mean of two samples of each participant, in the smaller model."""
+    features, people = _two_features(spark, sf)
+    x = F.get("embedding", F.lit(2)).cast("double")
+    samples_ = _t(spark, sf, "embeddings").select(F.concat(F.col("vec_id").cast("string"), F.lit("_a")).alias("subject_id"), F.explode(F.array(x - 1, x + 1)).alias("cell_embedding"))
+    rows = grouped.associate(features, people, [models.parse_setting("fixed:2")], ("F",), (), tables.cell_vectors(samples_), [None, models.parse_setting("fixed:1")], trait="n_chars")
+    return _rounded(rows.select("gene_id", "cell_pca_id", "model", "cell_pca_components", "cell_pca_explained_variance", "n_samples", "F_obs", "p_F", "rank_red", "r2_red", "partial_r2"))
+
+
+_LEVELS = "SELECT (c_custkey % 3)::VARCHAR AS g, c_custkey % 4 AS lvl, count(*) AS n, count(*) FILTER (c_acctbal > 4000 + 300 * (c_custkey % 4)) AS k FROM customer GROUP BY 1, 2"
+
+
+@_query(f"""WITH l AS ({_LEVELS}),
+part AS (SELECT g, lvl = 0 AS zero, sum(n) AS n, sum(k) AS k FROM l GROUP BY 1, 2),
+ll AS (SELECT g, sum(k * ln(k / n) + (n - k) * ln(1 - k / n)) AS whole, sum(n) AS n, sum(k) AS cases FROM l GROUP BY g),
+lr AS (SELECT g, sum(k * ln(k / n) + (n - k) * ln(1 - k / n)) AS red FROM part GROUP BY g)
+SELECT g AS gene_id, n::BIGINT AS n_samples, cases::BIGINT AS n_cases, 2::BIGINT AS df_lrt, round(2 * (whole - red), 6) AS "LRT_obs", round(exp(red - whole), 6) AS "p_LRT", round(red, 6) AS loglik_red, round(whole, 6) AS loglik_full,
+  round(1 - whole / red, 6) AS mcfadden_r2_increment, true AS lrt_converged_red, true AS lrt_converged_full, 'ok' AS lrt_status, 'ok' AS status, NULL::DOUBLE AS "F_obs" FROM ll JOIN lr USING (g)""")
+def q_lrt_levels(spark, sf):
+    """Logistic likelihood ratio of two indicators beside another: both models fit the shares of their levels."""
+    c, k = _t(spark, sf, "customer"), F.col("c_custkey")
+    is_ = lambda i: (k % 4 == i).cast("double")
+    features = c.select((k % 3).cast("string").alias("gene_id"), F.lit("levels").alias("embed_type"), k.alias("participant_id"), F.array(is_(1), is_(2)).alias("vector"))
+    people = c.select(k.alias("participant_id"), (F.col("c_acctbal") > 4000 + 300 * (k % 4)).cast("double").alias("label"), is_(0).alias("age"))
+    rows = grouped.associate(features, people, [models.parse_setting("fixed:2")], ("LRT",), ["age"], trait="rich")
+    names = "gene_id n_samples n_cases df_lrt LRT_obs p_LRT loglik_red loglik_full mcfadden_r2_increment lrt_converged_red lrt_converged_full lrt_status status F_obs".split()
+    return _rounded(rows.select(*names))
+
+
+@_query("""WITH o AS (SELECT ((o_custkey * 7 + o_orderkey) % 3001)::VARCHAR AS g, o_orderkey % 3 AS y FROM orders), c AS (SELECT g, count(*) AS n, min(y) = max(y) AS flat FROM o GROUP BY g)
+SELECT g AS gene_id, CASE WHEN n < 3 THEN 'input_failed' WHEN g::INT % 5 = 0 THEN 'failed' WHEN flat THEN 'constant_outcome' ELSE 'ok' END AS status,
+  CASE WHEN n < 3 THEN 'fewer than 3 participants' WHEN g::INT % 5 = 0 THEN 'no feature varies in the group' END AS error, CASE WHEN n >= 3 THEN n END AS n_samples, CASE WHEN n >= 3 AND g::INT % 5 <> 0 THEN 'not_binary' END AS lrt_status
+FROM c""")
+def q_group_status(spark, sf):
+    """Groups that are too small, without a feature that varies, or with a constant label are rows with a status."""
+    o = _t(spark, sf, "orders")
+    gene = (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 3001
+    x = F.when(gene % 5 == 0, F.lit(1.0)).otherwise(F.hash("o_orderkey").cast("double"))
+    features = o.select(gene.cast("string").alias("gene_id"), F.lit("one").alias("embed_type"), F.col("o_orderkey").alias("participant_id"), F.array(x).alias("vector"))
+    people = o.select(F.col("o_orderkey").alias("participant_id"), (2 + F.col("o_orderkey") % 3).cast("double").alias("label"))
+    rows = grouped.associate(features, people, [models.parse_setting("fixed:1")], ("F", "LRT"), trait="third")
+    return rows.select("gene_id", "status", "error", "n_samples", "lrt_status")
+
+
+@_query("SELECT p_partkey, floor(length(p_partkey::VARCHAR) * 3 * 0.25)::INT AS n_masked FROM part")
+def q_masked_bases(spark, sf):
+    """Of sequences that hold bases only, the share is masked exactly, whatever the places."""
+    text = F.translate(F.repeat(F.col("p_partkey").cast("string"), 3), "0123456789", "ATCGatcgAT")
+    ids = sequence.masked_ids(sequence.token_ids(text, pad_to=32), 0.25)
+    return _t(spark, sf, "part").select("p_partkey", F.size(F.filter(ids, lambda x: x == sequence.MASK)).alias("n_masked"))
+
+
+@_query(f"SELECT p_partkey, (length(p_type) + length(p_brand) + 2)::INT AS n, length(p_type)::INT AS first, 2::BIGINT AS n_separators FROM part")
+def q_paired_sequences(spark, sf):
+    """Two sequences, each followed by a separator, and where these are."""
+    ids = sequence.with_separator(sequence.token_ids(F.col("p_type")), 99, sequence.token_ids(F.col("p_brand")))
+    mask = sequence.separator_mask(F.col("ids"), 99)
+    return _t(spark, sf, "part").select("p_partkey", ids.alias("ids")).select("p_partkey", F.size("ids").alias("n"), (F.array_position(mask, 1) - 1).cast("int").alias("first"), F.aggregate(mask, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_separators"))
+
+
+# Files: written to the shared folder and read back
+
+
+@_query("SELECT c_custkey AS participant_id, (c_nationkey % 2)::INT AS sex, c_acctbal AS label, c_nationkey::DOUBLE AS age FROM customer WHERE c_nationkey % 2 = 1 AND c_custkey % 9 <> 0")
+def q_cohort_file(spark, sf):
+    """One tab-separated file, written whole, read by its header as a cohort; blank cells are incomplete."""
+    path = f"{sinks.scratch(spark, 'cohort')}/people.tsv"
+    people = _cohort(spark, sf).withColumn("label", F.when(F.col("participant_id") % 9 != 0, F.col("label")))
+    sinks.write_file(people.withColumn("unused", F.lit("x")), path, "participant_id")
+    raw = tables.read_table(spark, path, [("participant_id", "long"), ("sex", "int"), ("label", "double"), ("age", "double")])
+    return cohort.read_cohort(raw, "label", cohort.covariates(["age", "sex"], "label", "M"), "M").select("participant_id", "sex", "label", "age")
+
+
+@_query("SELECT row_number() OVER (ORDER BY n_nationkey) - 1 AS ordinal, n_name AS gene_id FROM nation")
+def q_id_file(spark, sf):
+    """A list with a comment, a header, blanks and repeats."""
+    names = [r[0] for r in _t(spark, sf, "nation").orderBy("n_nationkey").select("n_name").collect()]
+    path = f"{sinks.scratch(spark, 'ids')}/genes.tsv"
+    sinks.write_text(spark, path, "# genes\nrank\tGene_ID\n\n" + "".join(f"{i}\t {n}  # note\n" for i, n in enumerate([*names, *names[:5]])))
+    return tables.read_ids(spark, path)
+
+
+@_query("SELECT n_regionkey::VARCHAR AS gene_id, n_nationkey, n_name FROM nation WHERE n_regionkey <> 2 UNION ALL SELECT '2', n_nationkey, 'again' FROM nation WHERE n_regionkey = 2")
+def q_result_folder(spark, sf):
+    """Results by gene, of which one is written again."""
+    path = f"{sinks.scratch(spark, 'results')}/results"
+    n = _t(spark, sf, "nation").select(F.concat(F.lit("g"), F.col("n_regionkey").cast("string")).alias("gene_id"), "n_nationkey", "n_name")
+    sinks.write_results(n, path)
+    sinks.write_results(n.where("gene_id = 'g2'").withColumn("n_name", F.lit("again")), path, overwrite=True)
+    return spark.read.parquet(path).select(F.substring("gene_id", 2, 9).alias("gene_id"), "n_nationkey", "n_name")
+
+
+@_query("SELECT n_nationkey::VARCHAR AS gene_id, 2::BIGINT AS n FROM nation WHERE n_nationkey BETWEEN 10 AND 14")
+def q_repeated_places(spark, sf):
+    """Genes whose features lie in more than one file."""
+    path = sinks.scratch(spark, "features")
+    n = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("gene_id"), "n_nationkey")
+    for k, part in enumerate((n.where("n_nationkey < 15"), n.where("n_nationkey >= 10"))):
+        part.coalesce(1).write.parquet(f"{path}/{k}")
+    return tables.repeated_features(spark.read.parquet(f"{path}/0", f"{path}/1"))
+
+
+@_query("SELECT r_regionkey::VARCHAR AS gene_id, n_nationkey::BIGINT AS participant_id, 'concat_cage_mean' AS field, n_nationkey * 0.5::DOUBLE AS x, n_nationkey + 1.0::DOUBLE AS y FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_matrix_files(spark, sf):
+    """Files of matrices with an id field, without pickles; fields that are no matrix of numbers are left out."""
+    path = sinks.scratch(spark, "matrices")
+    by_region: dict[int, list[int]] = {}
+    for r in _t(spark, sf, "nation").select("n_nationkey", "n_regionkey").orderBy("n_nationkey").collect():
+        by_region.setdefault(r[1], []).append(r[0])
+    for region, keys in by_region.items():
+        out = io.BytesIO()
+        np.savez(out, subject_ids=np.array([f"{k}_s" for k in keys]), concat_cage_mean=np.array([[k * 0.5, k + 1.0] for k in keys]), names=np.array([["n"]] * len(keys)), short=np.zeros((len(keys) + 1, 2)))
+        sinks.write_bytes(spark, f"{path}/{region}.npz", out.getvalue())
+    rows = tables.read_npz(spark, path)
+    return rows.select("gene_id", "participant_id", "field", F.get("vector", F.lit(0)).alias("x"), F.get("vector", F.lit(1)).alias("y"))
+
+
+@_query("SELECT CASE p_partkey % 2 WHEN 0 THEN 'Height' ELSE 'VAT' END AS trait, CASE p_partkey % 3 WHEN 0 THEN 'All' WHEN 1 THEN 'F' ELSE 'M' END AS stratum, p_partkey::VARCHAR AS gene_id, p_size::INT AS num_feature, round(p_retailprice, 6) AS \"F_obs\", round(1.0 / (1 + p_partkey), 6) AS \"p_F\" FROM part WHERE p_partkey < 400")
+def q_list_files(spark, sf):
+    """Result lists by trait and stratum, which the file names tell."""
+    path, k = sinks.scratch(spark, "lists"), F.col("p_partkey")
+    p = _t(spark, sf, "part").where("p_partkey < 400").select(k, k.cast("string").alias("gene_id"), F.col("p_size").alias("num_feature"), F.lit("concat_cage").alias("embed_type"), F.col("p_retailprice").alias("F_obs"), (1 / (1 + k)).alias("p_F"))
+    for t, trait in enumerate(("Height", "VAT")):
+        for s, suffix in enumerate(("", "_F", "_M")):
+            sinks.write_file(p.where((k % 2 == t) & (k % 3 == s)).drop("p_partkey"), f"{path}/{trait}_extreme{suffix}.tsv", "gene_id")
+    return tables.result_lists(spark, path).select("trait", "stratum", "gene_id", "num_feature", _r6("F_obs").alias("F_obs"), _r6("p_F").alias("p_F"))
+
+
+def _outcome(call) -> str:
+    try:
+        return str(call())
+    except ValueError:
+        return "refused"
+
+
+@_query("""SELECT * FROM (VALUES ('tests F', '(''F'',)'), ('tests f, lrt', '(''F'', ''LRT'')'), ('tests T', 'refused'), ('tests F,F', 'refused'), ('pca none', 'None'), ('pca variance:1', 'refused'), ('pca fixed:0', 'refused'),
+('columns there', 'None'), ('column missing', 'refused'), ('file a/b c', 'a%2Fb%20c'), ('manifest new', 'None'), ('manifest same', 'None'), ('manifest changed', 'refused'), ('settings repeated', 'refused'), ('cell without vectors', 'refused'),
+('dynamic 128000', 'ok'), ('dynamic 128001', 'too_long'), ('dynamic batch 33', 'too_many'), ('fixed 8192', 'ok'), ('fixed 8193', 'too_long'), ('no length', 'refused'), ('first key', 'participant_id'), ('no key', 'refused'), ('allow absent', 'refused')) t("case", outcome)""")
+def q_refusals(spark, sf):
+    """What settings, files and cohorts are taken, and what is refused."""
+    path = f"{sinks.scratch(spark, 'manifest')}/run_manifest.json"
+    features, people = _two_features(spark, sf)
+    two, nation = [models.parse_setting("fixed:2")], _t(spark, sf, "nation")
+    absent = spark.createDataFrame([(-1,)], "n_nationkey int").select(F.col("n_nationkey").cast(nation.schema["n_nationkey"].dataType).alias("n_nationkey"))
+    cases = {
+        "tests F": lambda: models.parse_tests("F"), "tests f, lrt": lambda: models.parse_tests("f, lrt"), "tests T": lambda: models.parse_tests("T"), "tests F,F": lambda: models.parse_tests("F,F"),
+        "pca none": lambda: models.parse_setting("none"), "pca variance:1": lambda: models.parse_setting("variance:1"), "pca fixed:0": lambda: models.parse_setting("fixed:0"),
+        "columns there": lambda: cohort.require(nation, ["n_name"]), "column missing": lambda: cohort.require(nation, ["n_name", "age"]), "file a/b c": lambda: sinks.file_name("a/b c"),
+        "manifest new": lambda: sinks.write_manifest(spark, path, {"a": 1, "b": [2]}), "manifest same": lambda: sinks.write_manifest(spark, path, {"b": [2], "a": 1}), "manifest changed": lambda: sinks.write_manifest(spark, path, {"a": 2, "b": [2]}),
+        "settings repeated": lambda: grouped.associate(features, people, two + two), "cell without vectors": lambda: grouped.associate(features, people, two, cell_settings=two),
+        "dynamic 128000": lambda: extract.limits("m_dyn_a100.pt2").status(128_000), "dynamic 128001": lambda: extract.limits("m_dyn_a100.pt2").status(128_001), "dynamic batch 33": lambda: extract.limits("m_dyn_a100.pt2").status(256, 33),
+        "fixed 8192": lambda: extract.limits("m_L8192_x").status(8192), "fixed 8193": lambda: extract.limits("m_L8192_x").status(8193), "no length": lambda: extract.limits("model"),
+        "first key": lambda: tables.pick(["subject_id", "participant_id"], tables.EMBEDDING_KEYS), "no key": lambda: tables.pick(["name"], tables.EMBEDDING_KEYS), "allow absent": lambda: cohort.allow(nation, absent, "n_nationkey"),
+    }
+    return spark.createDataFrame([(k, _outcome(f)) for k, f in cases.items()], "case string, outcome string")
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -30,29 +30,29 @@ def merged(results: DataFrame, genes: DataFrame, p_columns: Sequence[str] = ("p_
     return fdr.with_q_values(found, p_columns), missing
 
 
-def run(spark: SparkSession, out: str, genes: DataFrame, features: DataFrame, people: DataFrame, settings: Sequence[str], tests: str = "F", rank: int = 0, world: int = 1, overwrite: bool = False, cell: DataFrame | None = None, cell_settings: Sequence[str] = ("none",), **options) -> None:
-    """Tests this rank's pending genes and appends their rows to <out>/results."""
-    manifest = {"settings": list(settings), "tests": tests, "cell_settings": list(cell_settings), "options": {k: list(v) if isinstance(v, tuple) else v for k, v in options.items()}, "genes": genes.count(), "version": 1}
+def run(spark: SparkSession, out: str, genes: DataFrame, features: DataFrame, people: DataFrame, settings: Sequence[str], tests: str = "F", rank: int = 0, world: int = 1, overwrite: bool = False, cell: DataFrame | None = None, cell_settings: Sequence[str] = ("none",), most: int | None = None, **options) -> None:
+    """Tests this rank's pending genes and appends their rows to <out>/results. ``most`` bounds the components."""
+    manifest = {"settings": list(settings), "tests": tests, "cell_settings": list(cell_settings), "most": most, "options": {k: list(v) if isinstance(v, tuple) else v for k, v in options.items()}, "genes": genes.count(), "version": 1}
     sinks.write_manifest(spark, f"{out}/run_manifest.json", manifest)
     done = _read_or_none(spark, f"{out}/results")
     todo = pending(cohort.shard(genes, rank, world, "ordinal"), done, overwrite)
     chosen = features.join(cohort.small(todo.select("gene_id")), "gene_id", "left_semi")
-    rows = grouped.associate(chosen, people, [parse_setting(s) for s in settings], parse_tests(tests), cell=cell, cell_settings=[parse_setting(s) for s in cell_settings], **options)
+    rows = grouped.associate(chosen, people, [parse_setting(s, most) for s in settings], parse_tests(tests), cell=cell, cell_settings=[parse_setting(s, most) for s in cell_settings], **options)
     absent = grouped.empty_groups(todo, features, people).withColumn("error", F.lit("no participant of the cohort"))
     sinks.write_results(rows.unionByName(absent.select("gene_id", "status", "error"), allowMissingColumns=True), f"{out}/results", overwrite=overwrite)
 
 
 def merge(spark: SparkSession, out: str, genes: DataFrame, partial: bool = False) -> None:
     results, missing = merged(spark.read.parquet(f"{out}/results"), genes, partial=partial)
-    sinks.write_tsv(results, f"{out}/merged", "gene_id")
-    sinks.write_tsv(missing, f"{out}/missing_genes", "gene_id")
+    sinks.write_file(results, f"{out}/merged.tsv", "gene_id")
+    sinks.write_file(missing, f"{out}/missing_genes.tsv", "gene_id")
 
 
-def extract_embeddings(spark: SparkSession, out: str, genes: DataFrame, sequences: DataFrame, make_model=None, rank: int = 0, world: int = 1, overwrite: bool = False) -> DataFrame:
+def extract_embeddings(spark: SparkSession, out: str, genes: DataFrame, sequences: DataFrame, make_model=None, rank: int = 0, world: int = 1, overwrite: bool = False, package: extract.Limits = extract.Limits()) -> DataFrame:
     """Embeds this rank's pending genes into <out>/embeddings; returns the genes without sequences."""
     done = _read_or_none(spark, f"{out}/embeddings")
     todo = pending(cohort.shard(genes, rank, world, "ordinal"), done, overwrite)
-    rows = extract.embed(sequences.join(cohort.small(todo.select("gene_id")), "gene_id", "left_semi"), make_model)
+    rows = extract.embed(sequences.join(cohort.small(todo.select("gene_id")), "gene_id", "left_semi"), make_model, package)
     sinks.write_results(rows, f"{out}/embeddings", overwrite=overwrite)
     return todo.select("gene_id").join(sequences.select("gene_id").distinct(), "gene_id", "left_anti")
 
@@ -77,6 +77,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "extract":
             p.add_argument("--sequences", required=True, help="Parquet: gene_id, ref_seq, haplotypes, participant_id")
             p.add_argument("--model", help="module:function that returns the model; a deterministic stand-in without it")
+            p.add_argument("--package", help="file name of the packaged model, which tells its limits")
         if name != "merge":
             p.add_argument("--rank", type=int, default=0)
             p.add_argument("--world", type=int, default=1)
@@ -89,6 +90,13 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--sex", default="All", choices=("All", "F", "M"))
             p.add_argument("--pca", default="fixed:50", help="comma-separated settings")
             p.add_argument("--tests", default="F")
+            p.add_argument("--pca-max", type=int, help="most components of a variance setting")
+            p.add_argument("--participants", help="list of the ids to test; all must be in the cohort")
+            p.add_argument("--expected", type=int, help="participants that every gene must have")
+            p.add_argument("--cell", help="Parquet: an id column and the cell embedding")
+            p.add_argument("--cell-pca", default="none", help="comma-separated settings, none without cell components")
+            p.add_argument("--max-iter", type=int, default=100)
+            p.add_argument("--tol", type=float, default=1e-10)
     return top
 
 
@@ -101,12 +109,16 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.command == "extract":
         module, _, function = (args.model or "").partition(":")
         make = getattr(importlib.import_module(module), function) if module else None
-        absent = extract_embeddings(spark, args.out, genes, tables.sequences(spark.read.parquet(args.sequences)), make, args.rank, args.world, args.overwrite)
+        absent = extract_embeddings(spark, args.out, genes, tables.sequences(spark.read.parquet(args.sequences)), make, args.rank, args.world, args.overwrite, extract.limits(args.package) if args.package else extract.Limits())
         return print(f"{absent.count()} genes have no sequences")
     names = [c for c in args.covariates.split(",") if c]
     raw = spark.read.option("header", True).option("sep", "\t").csv(args.cohort)
     people = cohort.read_cohort(raw, args.label, names, args.sex).withColumnRenamed(args.label, "label")
-    run(spark, args.out, genes, spark.read.parquet(args.features), people, args.pca.split(","), args.tests, args.rank, args.world, args.overwrite, covariates=cohort.covariates(names, args.label, args.sex), sex=args.sex, trait=args.label)
+    if args.participants:
+        people = cohort.allow(people, tables.read_ids(spark, args.participants).select(F.col("gene_id").cast("long").alias("participant_id")), "participant_id")
+    cell = tables.cell_vectors(spark.read.parquet(args.cell)) if args.cell else None
+    cell_settings = args.cell_pca.split(",") if args.cell else ["none"]
+    run(spark, args.out, genes, spark.read.parquet(args.features), people, args.pca.split(","), args.tests, args.rank, args.world, args.overwrite, cell, cell_settings, most=args.pca_max, expected=args.expected, max_iter=args.max_iter, tol=args.tol, covariates=cohort.covariates(names, args.label, args.sex), sex=args.sex, trait=args.label)
 
 
 if __name__ == "__main__":

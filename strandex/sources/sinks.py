@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,48 @@ def _file(spark: SparkSession, path: str):
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes beside the target and renames, so that a reader sees all or nothing."""
-    fs, target = _file(spark, path)
-    _, part = _file(spark, f"{path}.part")
+    """Writes beside the target and renames over it, so that a reader sees the old file or the new one."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    fs, part = _file(spark, f"{path}.part")
     out = fs.create(part, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(content))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(part, target):
-        raise OSError(f"could not write {path}")
+    _replace(spark, f"{path}.part", path)
+
+
+def _replace(spark: SparkSession, part: str, path: str) -> None:
+    """An atomic rename where the file system has one that overwrites."""
+    jvm = spark._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI.create(jvm.org.apache.hadoop.fs.Path(path).toString()), spark._jsc.hadoopConfiguration()) if "://" in path or path.startswith("file:") else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(jvm.org.apache.hadoop.fs.Path(part), jvm.org.apache.hadoop.fs.Path(path), options)
+
+
+def write_file(df: DataFrame, path: str, order: str) -> None:
+    """One tab-separated file with a header, in the order of a column, that appears whole. For merged
+    results, a row per gene and setting: the sort is distributed, its parts go through one task in turn."""
+    spark, folder = df.sparkSession, f"{path}.parts"
+    fs, parts = _file(spark, folder)
+    df.orderBy(order).coalesce(1).write.mode("overwrite").option("sep", "\t").option("header", True).csv(folder)
+    written = [s.getPath() for s in fs.listStatus(parts) if s.getPath().getName().startswith("part-")]
+    if not written:
+        raise OSError(f"nothing was written to {folder}")
+    _replace(spark, written[0].toString(), path)
+    fs.delete(parts, True)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for the files of one call, in the cluster's shared folder (spark.checkpoint.dir); in local mode without one, our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

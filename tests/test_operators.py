@@ -118,7 +118,7 @@ def test_extraction_agrees_with_column_pooling(spark):
     body, head = one.select(vectors.masked_mean(value, mask), vectors.prefix_mean(value)).first()
     assert out["1", "concat_cage_mean"][0] == pytest.approx(body) and out["1", "concat_cage_tss500_mean"][0] == pytest.approx(head)
     assert out["2", "concat_cage_mean"][:2] == [0.0, 0.0]  # nothing but padding
-    assert {r.status for r in extract.embed(df, limit=256).collect()} == {"too_long"}
+    assert {r.status for r in extract.embed(df, package=extract.Limits(longest=256)).collect()} == {"too_long"}
 
 
 def _inputs(spark, n=40):
