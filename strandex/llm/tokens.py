@@ -1,25 +1,22 @@
 """Token counts of whole texts as the tokenizer's library gives them.
 
-A huge text is encoded in overlapping chunks with offsets. Two chunks are spliced at a position in
-their overlap where both encodings have a token boundary and which is *proven stable*: no piece of
-the vocabulary can straddle it, so that no merge crosses it whatever stands around. An overlap
-without such a position is widened, up to the whole text. Between stable boundaries a text is a
-run of short units that repeat; a bounded memo keeps their counts.
+A text above CHUNK characters is encoded in overlapping chunks with offsets, and the count is the sum of
+the tokens that each chunk's own encoding has between two splice points. Two chunks are spliced at a
+position in their overlap where both encodings have a token boundary and which is *proven stable*: no
+piece of the vocabulary can straddle it, so that no merge crosses it whatever stands around. An overlap
+without such a position is widened, and then the chunk, up to the whole text.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of a chunk and of the overlap at first; texts above CHUNK are huge.
-CHUNK, OVERLAP = 1 << 16, 1 << 8
-#: Units in the memo of a worker, and characters of the longest unit that goes there.
-MEMO_UNITS, MEMO_CHARS = 1 << 19, 48
+#: Characters of a chunk and of the overlap at first.
+CHUNK, OVERLAP = 1 << 12, 1 << 7
 SPACE = "▁"
 
 
@@ -34,90 +31,55 @@ class PieceCounter:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.heads = np.array([x.startswith(SPACE) for x in pieces])
-        self.stable = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in pieces)
+        n = self.model.get_piece_size()
+        pieces = [self.model.id_to_piece(i) for i in range(n)]
+        stable = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in pieces)
         # The normalizer must leave every character alone but for spaces, and keep all of those.
-        self.plain = self.model.normalize(" a   ﬁÅ\n\t b ") == f"{SPACE}{SPACE}a{SPACE}{SPACE} ﬁÅ\n\t{SPACE}b{SPACE}"
-        self.memo: dict[str, int] = {}
-
-    def _encode(self, text: str) -> int:
-        return len(self.model.encode(text))
-
-    def _encode_units(self, units: list[str]) -> dict[str, int]:
-        """Counts of single units. Those with no space are encoded in one call, joined at stable boundaries."""
-        words = [x for x in units if x and " " not in x]
-        got: dict[str, int] = {}
-        if words:
-            ids = self.model.encode(" ".join(words))
-            heads = np.flatnonzero(self.heads[ids])
-            got = dict(zip(words, np.diff(heads, append=len(ids)).tolist(), strict=True))
-        for x in set(units) - got.keys():  # a lone space comes as "", to which the library adds none
-            got[x] = self._encode(x) if x else self._encode("a ") - self._encode("a")
-        return got
-
-    def boundaries(self, text: str) -> list[int]:
-        """Offsets in ``text`` at which its encoding has a token boundary."""
-        return [p.begin for p in self.model.encode(text, return_type="proto").pieces]
-
-    def is_stable(self, text: str, at: int) -> bool:
+        plain = self.model.normalize(" a  \u00a0\ufb01\u00c5\n\t b ") == f"{SPACE}{SPACE}a{SPACE}{SPACE}\u00a0\ufb01\u00c5\n\t{SPACE}b{SPACE}"
+        self.provable = stable and plain
+        # Characters of each piece; of a character in bytes the first has it.
+        byte = [int(x[3:5], 16) if self.model.is_byte(i) else -1 for i, x in enumerate(pieces)]
+        self.inner = np.array([0x80 <= b < 0xC0 for b in byte])
+        self.width = np.array([len(x) if b < 0 else int(not 0x80 <= b < 0xC0) for x, b in zip(pieces, byte)])
+        self.unknown = self.model.unk_id()
+
+    def starts(self, text: str, at: int, end: int) -> np.ndarray:
+        """Where in ``text`` the tokens of text[at:end], encoded on its own, begin."""
+        ids = np.array(self.model.encode(text[at:end]), np.int64)
+        if (ids == self.unknown).any():  # as wide as what it stands for
+            return at + np.array([p.begin for p in self.model.encode(text[at:end], return_type="proto").pieces], np.int64)
+        width = self.width[ids]
+        begin = np.cumsum(width) - width - 1 - self.inner[ids]  # 1: the SPACE before the text
+        return at + np.maximum(begin, 0)
+
+    @staticmethod
+    def is_stable(text: str, at: int) -> bool:
         return text[at] in (" ", SPACE) and text[at - 1] not in (" ", SPACE)
 
-    def units(self, text: str) -> Iterator[str]:
-        """The text cut at stable boundaries; each unit without its first space, which the library adds."""
-        if SPACE in text:
-            text = text.replace(SPACE, " ")
-        if "  " not in text and text[:1] != " ":
-            return iter(text.split(" "))
-        return (x[1:] for x in re.findall(r" +[^ ]+| +", f" {text}"))
+    def splice(self, text: str, left: np.ndarray, right: np.ndarray, low: int, high: int) -> int | None:
+        """The last proven stable position in low < x < high at which tokens of both encodings begin."""
+        shared = np.intersect1d(left[(left > low) & (left < high)], right[(right > low) & (right < high)])
+        return next((x for x in shared[::-1].tolist() if self.is_stable(text, x)), None)
 
     def count(self, text: str) -> int:
-        if not text:
-            return 0
-        if not (self.stable and self.plain):
-            return self._encode(text)
-        return sum(map(self._count_part, chunks(text, self.boundaries, self.is_stable)))
-
-    def _count_part(self, text: str) -> int:
-        """Of a text or of what follows a cut; its units are encoded as if each began a text."""
-        memo, total, new = self.memo, 0, []
-        for unit in self.units(text):
-            n = memo.get(unit)
-            if n is None:
-                new.append(unit)
-            else:
-                total += n
-        if new:
-            got = self._encode_units(list(dict.fromkeys(new)))
-            total += sum(map(got.__getitem__, new))
-            if len(memo) > MEMO_UNITS:
-                memo.clear()
-            memo.update((k, v) for k, v in got.items() if len(k) <= MEMO_CHARS)
-        return total
-
-
-def chunks(text: str, boundaries: Callable[[str], list[int]], is_stable: Callable[[str, int], bool], chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[str]:
-    """Cuts ``text`` at proven stable boundaries that the encodings of both neighbours share.
-
-    A cut part after the first drops the space at its head, which the library adds again.
-    """
-    at = 0
-    while len(text) - at > chunk + overlap:
-        width, cut = overlap, None
-        while cut is None and at + chunk + width < len(text):
-            low, high = at + chunk - width, at + chunk + width
-            head = text[max(at, low - 2 * width) : high]
-            tail = text[low : high + 2 * width]
-            left = {max(at, low - 2 * width) + x for x in boundaries(head)}
-            right = {low + x for x in boundaries(tail)}
-            shared = [x for x in left & right if max(low, at + 1) < x < high and is_stable(text, x)]
-            cut = max(shared, default=None)
-            width *= 2
-        if cut is None:
-            break
-        yield text[at:cut]
-        at = cut + 1
-    yield text[at:]
+        if not self.provable or len(text) <= CHUNK:
+            return len(self.model.encode(text)) if text else 0
+        total, splice, at, end, overlap = 0, 0, 0, CHUNK, OVERLAP
+        left = self.starts(text, at, end)
+        while end < len(text):
+            start = max(at, end - overlap)
+            to = min(len(text), start + max(CHUNK, 2 * overlap))
+            right = self.starts(text, start, to)
+            cut = self.splice(text, left, right, max(start, splice), end)
+            if cut is not None:
+                total += int(((left >= splice) & (left < cut)).sum())
+                splice, at, end, left, overlap = cut, start, to, right, OVERLAP
+            elif start > at:
+                overlap *= 2
+            else:  # no stable position in all of the chunk: a wider one
+                end = min(len(text), at + 2 * (end - at))
+                left = self.starts(text, at, end)
+        return total + int((left >= splice).sum())
 
 
 _COUNTERS: dict[str, PieceCounter] = {}

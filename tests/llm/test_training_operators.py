@@ -200,11 +200,27 @@ def test_token_counts(spark, corpus):
     assert got == {i: (len((t or "").encode()), n := len(model.encode(t or "")), n > 4096) for i, t in texts.items()}
 
 
-def test_chunks_are_spliced_at_stable_boundaries():
-    text = " ".join("x" * (k % 50 + 1) for k in range(900))
-    marks = lambda t: [0] + [i for i, c in enumerate(t) if c == " "]
-    parts = list(tokens.chunks(text, marks, lambda t, i: t[i] == " ", chunk=200, overlap=8))
-    assert " ".join(parts) == text and len(parts) > 50  # overlaps of 8 are widened over words of 50
+def test_spliced_counts_are_the_library_s(monkeypatch):
+    import public_tokenizers
+
+    counter = tokens.PieceCounter(public_tokenizers.path("piece_bpe_32k.model"))
+    assert counter.provable
+    rng = random.Random(21)
+    odd = ["naïve", "日本語", "🙂🙂", "x" * 90, "\u2581a", "\t\n", "don't,", "<s>", "1234567", "ﬁ", "", ""]
+    texts = [" ".join(rng.choice(odd + words(rng, 9)) for _ in range(n)) for n in (40, 300, 900)]
+    texts += ["y" * 700, "🙂" * 300, " " * 500, " lead " * 90, ("z" * 130 + " ") * 9, "日本" * 200 + " end " + "q" * 400]
+    want = [len(counter.model.encode(t)) for t in texts]
+    seen, encode = [], counter.starts
+    monkeypatch.setattr(counter, "starts", lambda text, at, end: seen.append(end - at) or encode(text, at, end))
+    for chunk, overlap in ((64, 8), (200, 16)):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        monkeypatch.setattr(tokens, "OVERLAP", overlap)
+        assert [counter.count(t) for t in texts] == want
+    seen.clear()
+    plain = " ".join(words(rng, 2000))
+    assert counter.count(plain) == len(counter.model.encode(plain)) and max(seen) <= 200 and len(seen) > 40
+    monkeypatch.setattr(counter, "starts", lambda text, at, end: encode(text, at, end)[encode(text, at, end) % 2 == 0])
+    assert counter.count(plain) < len(counter.model.encode(plain))  # the chunks' own encodings make the count
 
 
 @pytest.mark.parametrize("tile", [8, 2048])
