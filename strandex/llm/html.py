@@ -1,11 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into tags and text. Text below elements that are never content (scripts, navigation,
-forms and the like, by name, role, class or id) goes. What remains is summed by root-to-leaf tag
-path: characters and punctuation marks per text node. Both ratios are smoothed over the paths in
-page order and fused by their product; paths above a threshold hold content, and the elements that
-enclose them as siblings are the content's containers. Every block inside a container is kept, so
-that short paragraphs and headings of the article stay.
+A page is cut into tags and text. Text below elements that are never content by their tag (scripts,
+navigation, forms and the like) goes. What remains is summed by root-to-leaf tag path, without classes:
+characters and punctuation marks per text node. Both ratios are smoothed over the paths in page order
+and fused by their product; paths above a threshold hold content. The main element is the innermost
+one that still holds most of the text on content paths; every block inside it is kept, so that short
+paragraphs and headings of the article stay. A class or id of nothing but boilerplate words excludes,
+as adverts, notices and reader comments may read like the article; one that holds such a word raises a
+suspicion: a suspect node counts for nothing in the choice, and inside the main element it stays if its
+path reads like content. The tags article and main break ties only: they are main elements at a smaller share.
 """
 
 from __future__ import annotations
@@ -37,50 +40,55 @@ _NAMES = set(
     "signup signin login comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations pagination pager skip search searchbox form legal copyright disclaimer hidden".split()
 )
 _ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
-#: A path holds content if its fused ratio is this part of the best path's.
-THRESHOLD = 0.05
+#: A path holds content if its fused ratio is this part of the best path's; that of a suspect node must be greater.
+THRESHOLD, CLEAR = 0.05, 0.25
+#: Share of the text on content paths that the main element holds at least; that of an article or main element.
+SHARE, NAMED_SHARE = 0.75, 0.5
+_WRAPPERS = set("html body div section article main center table tbody tr td font span".split())
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _excluded(tag: str, raw: str, above: list[str]) -> bool:
-    inside_article = "article" in above
-    if tag in NEVER or tag == "header" and not (inside_article or "main" in above) or tag == "article" and inside_article:
-        return True  # an article in an article is a comment on it
-    if "=" not in raw and "hidden" not in raw.lower():
-        return False
-    a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or a.get("role", "").lower() in _ROLES:
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
-    names = set(re.split(r"[^a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return bool(names & _NAMES) and not (inside_article and tag == "header")
-
-
-def nodes(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, str]]:
-    """Text nodes outside excluded elements: tag path, numbers of the open elements, block number, raw text."""
+def _never(tag: str, above: list[str]) -> bool:
+    return tag in NEVER or tag == "header" and not ("article" in above or "main" in above)
+
+
+def _hidden(a: dict[str, str]) -> bool:
+    return "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I))
+
+
+def _names(tag: str, a: dict[str, str], above: list[str]) -> tuple[bool, bool]:
+    """Excluded, suspect: by role, class or id. An article in an article is a comment on it (as HTML defines), or a part of it."""
+    if a.get("role", "").lower() in _ROLES:
+        return True, False
+    if tag in ("html", "body", "main", "article", "header"):
+        return False, tag == "article" and "article" in above
+    words = set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", f"{a.get('class', '')} {a.get('id', '')}").lower()))
+    return bool(words) and words <= _NAMES, bool(words & _NAMES)
+
+
+def nodes(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, str, int]]:
+    """Text nodes outside excluded elements: tag path, numbers of the open elements, block number, raw text,
+    and the number of the outermost suspect element around (0: none)."""
     stack: list[str] = []
     numbers: list[int] = []
     off, block, count, at, end = 0, 0, 0, 0, len(page)  # off: depth at which an excluded element was opened, plus 1
+    suspect = 0  # the same for a suspect one
 
     def pop(to: int) -> bool:
-        nonlocal off
+        nonlocal off, suspect
         inline = all(t in INLINE for t in stack[to:])
         del stack[to:], numbers[to:]
-        if off > len(stack):
-            off = 0
+        off, suspect = off if off <= len(stack) else 0, suspect if suspect <= len(stack) else 0
         return not inline
 
     while at < end:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else end]
         if text and not off:
-            yield tuple(stack), tuple(numbers), block, text
+            yield tuple(stack), tuple(numbers), block, text, suspect and numbers[suspect - 1]
         if not m:
             return
         at = m.end()
@@ -97,7 +105,7 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, st
             continue
         if tag == "br":
             if not off:
-                yield tuple(stack), tuple(numbers), block, " "
+                yield tuple(stack), tuple(numbers), block, " ", suspect and numbers[suspect - 1]
             continue
         if tag in _ENDS_P and "p" in stack:
             k = len(stack) - 1 - stack[::-1].index("p")
@@ -125,8 +133,13 @@ def nodes(page: str) -> Iterator[tuple[tuple[str, ...], tuple[int, ...], int, st
         count += 1
         stack.append(tag)
         numbers.append(count)
-        if not off and _excluded(tag, m[3], stack[:-1]):
-            off = len(stack)
+        if not off:
+            a = _attributes(m[3]) if "=" in m[3] or "hidden" in m[3].lower() else {}
+            named, like = _names(tag, a, stack[:-1])
+            if _never(tag, stack[:-1]) or a and _hidden(a) or named:
+                off = len(stack)
+            elif like and not suspect:
+                suspect = len(stack)
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -136,45 +149,79 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return 0.25 * y[:-2] + 0.5 * y[1:-1] + 0.25 * y[2:]
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks joined by newlines; empty for a page without text."""
-    found = [(path, numbers, block, entities.unescape(text)) for path, numbers, block, text in nodes(page or "")]
+def ratios(found: list) -> dict[tuple[str, ...], float]:
+    """The fused ratio of each tag path, as a part of the best."""
     paths: dict[tuple[str, ...], list[int]] = {}
-    for path, _, _, text in found:
+    for path, _, _, text, _ in found:
         if size := len(text.strip()):
             got = paths.setdefault(path, [0, 0, 0])
             got[0] += size
             got[1] += len(_PUNCTUATION.findall(text))
             got[2] += 1
     if not paths:
-        return ""
-    ratios = np.array(list(paths.values()), float)
-    length, marks = ratios[:, 0] / ratios[:, 2], (ratios[:, 1] + 0.1) / ratios[:, 2]
+        return {}
+    sums = np.array(list(paths.values()), float)
+    length, marks = sums[:, 0] / sums[:, 2], (sums[:, 1] + 0.1) / sums[:, 2]
     # A path keeps its own ratio if that is above the smoothed one: a long path isn't drowned by short neighbours.
     fused = np.maximum(length, _smooth(length)) * np.maximum(marks, _smooth(marks))
-    content = {p for p, x in zip(paths, fused) if x >= THRESHOLD * fused.max()}
-    containers: set[tuple[int, ...]] = set()
-    for path, numbers, _, text in found:
-        if path in content and text.strip():
-            k = len(path)
-            named = [path.index(t) for t in ("article", "main") if t in path]
-            if named:
-                k = named[0] + 1
-            else:
-                while k and path[k - 1] in INLINE:
-                    k -= 1
-                if k and path[k - 1] not in ("body", "html", "div", "section"):
-                    k -= 1  # a paragraph's parent
-                while k and path[k - 1] in ("ul", "ol", "dl", "table", "tbody", "tr", "blockquote", "figure", "li", "td"):
-                    k -= 1
-            containers.add(numbers[:k])
-    for tag in ("article", "main"):
-        if inside := {n[: len(c)] for p, n, _, _ in found for c in containers if c and n[: len(c)] == c and p[len(c) - 1] == tag}:
-            containers = inside
-            break
+    return dict(zip(paths, (fused / fused.max()).tolist()))
+
+
+def _main_element(found: list, content: set[tuple[str, ...]]) -> tuple[int, ...]:
+    """Numbers of the elements down to the main one; empty if nothing holds most of the content."""
+    mass: dict[tuple[int, ...], float] = {}
+    tags: dict[tuple[int, ...], str] = {}
+    every, clear = ([x for x in found if x[0] in content and (not only or not x[4])] for only in (False, True))
+    for path, numbers, _, text, _ in clear or every:
+        for k in range(1, len(numbers) + 1):
+            if path[k - 1] not in _WRAPPERS:
+                break
+            mass[numbers[:k]] = mass.get(numbers[:k], 0) + len(text.strip())
+            tags[numbers[:k]] = path[k - 1]
+            if path[k - 1] == "article":
+                break  # what an article holds belongs together
+    total = sum(len(x[3].strip()) for x in clear or every)
+    enough = [n for n, x in mass.items() if x >= (NAMED_SHARE if tags[n] in ("article", "main") else SHARE) * total]
+    return max(enough, key=lambda n: (len(n), mass[n]), default=())
+
+
+def _parent(path: tuple[str, ...], numbers: tuple[int, ...]) -> tuple[int, ...]:
+    """The element that holds a node's block and its siblings."""
+    k = len(path)
+    while k and path[k - 1] in INLINE:
+        k -= 1
+    if k and path[k - 1] not in ("body", "html", "div", "section", "article", "main"):
+        k -= 1  # a paragraph's parent
+    while k and path[k - 1] in ("ul", "ol", "dl", "table", "tbody", "tr", "blockquote", "figure", "li", "td"):
+        k -= 1
+    return numbers[:k]
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks joined by newlines; empty for a page without text."""
+    found = [(path, numbers, block, entities.unescape(text), suspect) for path, numbers, block, text, suspect in nodes(page or "")]
+    score = ratios(found)
+    if not score:
+        return ""
+    content = {p for p, x in score.items() if x >= THRESHOLD}
+    main = _main_element(found, content)
+    whole = not main or any(path[len(main) - 1] in ("html", "body") for path, numbers, *_ in found if numbers[: len(main)] == main)
+    if whole:  # no element of its own: what lies beside text on content paths
+        containers = {_parent(path, numbers) for path, numbers, _, text, suspect in found if path in content and text.strip() and not suspect}
+    else:
+        containers = {main}
     lengths = {len(c) for c in containers}
+    # What the content and each suspect element hold: an inner article with more than the rest is a part, not a comment.
+    inside: dict[int, int] = {}
+    for path, _, _, text, suspect in found:
+        if path in content:
+            inside[suspect] = inside.get(suspect, 0) + len(text.strip())
     blocks: dict[int, list[str]] = {}
-    for _, numbers, block, text in found:
+    for path, numbers, block, text, suspect in found:
+        if suspect:
+            comment = "article" in path and path[numbers.index(suspect)] == "article" and inside.get(suspect, 0) <= inside.get(0, 0)
+            if comment or score.get(path, 0) < CLEAR or whole and inside.get(0):
+                continue
         if any(numbers[:k] in containers for k in lengths if k <= len(numbers)):
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))

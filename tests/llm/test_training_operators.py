@@ -261,6 +261,12 @@ PAGES = {
     "<body><div id=content><h1>T</h1><p>Long text here, with marks. And more.</p><p>x</p></div><div class=sidebar><p>Side, text.</p></div><form><p>f</p></form></body>": "T\nLong text here, with marks. And more.\nx",
     "<main><header><h1>Title</h1></header><article><p>Hello <b>wor</b>ld,&nbsp; it is.</p><article><p>A comment, here.</p></article></article></main>": "Hello world, it is.",
     "<nav><ul><li>only a menu</li></ul></nav>": "",
+    # The ratios decide: no telling tag, name or role.
+    "<body><div class=x1><a>Home</a> <a>News</a> <a>About us</a></div><div class=x2><h1>Head</h1><p>A first sentence, with more. And then a second one, too.</p><p>ok</p><p>The last one, it ends here. Or does it?</p></div><div class=x3><span>Top</span><span>Login</span></div></body>": "Head\nA first sentence, with more. And then a second one, too.\nok\nThe last one, it ends here. Or does it?",
+    # Unlucky names in an article: they read like the rest.
+    "<article><p>First, a sentence that is long. Yes.</p><p class='share-price'>The price, it rose by far. So they say.</p><div class='legal-history'><p>Then came the law, which was new. And so on.</p></div><div class='share'><a>Tweet</a></div></article>": "First, a sentence that is long. Yes.\nThe price, it rose by far. So they say.\nThen came the law, which was new. And so on.",
+    # An article around articles is no comment on them.
+    "<article><h1>T</h1><article><p>One part, of two. It is long enough.</p><p>Two, of two parts. It is as long.</p></article></article>": "T\nOne part, of two. It is long enough.\nTwo, of two parts. It is as long.",
     "<p>unclosed <b>bold<p>next <!-- no --> one": "unclosed bold\nnext one",
 }
 
@@ -270,6 +276,22 @@ def test_main_text(page):
     assert html.main_text(page) == PAGES[page]
 
 
+def test_the_ratios_choose_the_content(monkeypatch):
+    page = next(p for p in PAGES if "x2" in p)
+    monkeypatch.setattr(html, "ratios", lambda found: {x[0]: float("a" in x[0]) for x in found})
+    assert "Home" in html.main_text(page) and "Head" not in html.main_text(page)
+
+
+def test_ratios_follow_the_definition():
+    page = "<div><p>Ab, cd. Ef!</p><p>gh</p><h1>Title</h1><ul><li>x, y</li><li>z</li></ul></div>"
+    got = html.ratios(list(html.nodes(page)))
+    paths = {("div", "p"): (11 + 2, 3, 2), ("div", "h1"): (5, 0, 1), ("div", "ul", "li"): (4 + 1, 1, 2)}
+    length, marks = [a / n for a, _, n in paths.values()], [(b + 0.1) / n for _, b, n in paths.values()]
+    smooth = lambda v: [0.25 * v[max(0, i - 1)] + 0.5 * v[i] + 0.25 * v[min(len(v) - 1, i + 1)] for i in range(len(v))]
+    fused = [max(a, b) * max(c, d) for a, b, c, d in zip(length, smooth(length), marks, smooth(marks))]
+    assert got == pytest.approx({p: x / max(fused) for p, x in zip(paths, fused)})
+
+
 def test_extract_rows(spark):
     df = spark.createDataFrame([(1, None, None, "t"), (None, "u", "<p>é &lt; x</p>", "t"), (1, "u", "<p>q</p>" * 5000, "t")], "page_id long, url string, html string, text string")
     got = sorted(((r.page_id, r.url, r.n_chars, len(r.text)) for r in html.extract(df).collect()), key=repr)
