@@ -59,7 +59,9 @@ class Block:
                 short[len(words)][int(wordhash.grams(words, len(words))[0])].add(i)
                 continue
             grams, least = _fingerprints(words)
-            for start, value in enumerate(least.tolist()):
+            # Of windows of the same words, the first: a run of repeated words isn't met once for each of them.
+            for start in np.unique(wordhash.grams(words, SPAN), return_index=True)[1].tolist():
+                value = int(least[start])
                 at[value].add((i, _position(grams, start)))
         self.at = {k: sorted(v) for k, v in at.items()}
         self.short = {n: {k: sorted(v) for k, v in x.items()} for n, x in short.items()}

@@ -138,14 +138,19 @@ def fit_languages(train: DataFrame, text_col: str = "text", lang_col: str = "lan
 
 
 def _emissions(model: Model, starts, ends, script, word, gram) -> np.ndarray:
-    """Relative log-likelihood of each word by language; those of other scripts are ruled out."""
-    total = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(model.logs[gram], axis=0, dtype=np.float64)])
-    score = _DAMP * (total[ends] - total[starts]) + _DAMP * model.logs[_word_slot(word)]
-    allowed = model.scripts[np.clip(script, 0, SCRIPTS - 1)]
-    allowed[~allowed.any(axis=1)] = True
-    score -= score.max(axis=1, keepdims=True)
-    score = np.maximum(score, -4 * SWITCH)  # a single odd word can't force two switches by much
-    return np.where(allowed, score, -8 * SWITCH).astype(np.float32)
+    """Relative log-likelihood of each word by language; those of other scripts are ruled out. Bytes are
+    looked at in pieces: what a text needs is 4 bytes for each word and language."""
+    out = np.zeros((len(starts), len(model.langs)), np.float32)
+    for i, j in wordhash.blocks(starts, ends, max(1 << 12, (1 << 20) // max(1, len(model.langs)))):
+        base = starts[i]
+        total = np.vstack([np.zeros((1, len(model.langs))), np.cumsum(model.logs[gram[base : ends[j - 1]]], axis=0, dtype=np.float64)])
+        score = _DAMP * (total[ends[i:j] - base] - total[starts[i:j] - base]) + _DAMP * model.logs[_word_slot(word[i:j])]
+        allowed = model.scripts[np.clip(script[i:j], 0, SCRIPTS - 1)]
+        allowed[~allowed.any(axis=1)] = True
+        score -= score.max(axis=1, keepdims=True)
+        score = np.maximum(score, -4 * SWITCH)  # a single odd word can't force two switches by much
+        out[i:j] = np.where(allowed, score, -8 * SWITCH)
+    return out
 
 
 def viterbi(emissions: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:

@@ -55,7 +55,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
     ``most`` is at most 2: no document is taken more than twice. Sources get the weights in turn, by
     code point, null last. A null source is a source. Null or empty text: size 0, takes 0. The hash
     is of the id as text (null: of the empty text), so that reruns agree and repeated rows share
-    their fate. An empty table gives an empty table. Columns of ``docs`` with the new names are replaced.
+    their fate. An empty table gives an empty table. Columns of ``docs`` with the new names are replaced;
+    others may have any name.
     """
     if not 0 < most <= 2:
         raise ValueError("most must be above 0 and at most 2")
@@ -91,9 +92,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: fl
         found = work.write(f"found{left}", found)
     work.drop("sized")
     found = small(found.select(F.col("source").alias("_s"), F.col("source_size").alias("_size"), F.col("target").alias("_target"), F.col("copies").alias("_copies"), F.col("last_key").alias("_last")))
-    out = docs.drop(*new).withColumn("size", words_in(f"`{text_col}`")).withColumn("_key", keys).join(found, F.col(source_col).eqNullSafe(F.col("_s")), "left")
-    copies = F.col("_copies") + F.when(F.col("_key") <= F.col("_last"), 1).otherwise(0)
-    return settled(out.select(*[F.col(c) for c in docs.columns if c not in new], "size", F.col("_size").cast("long").alias("source_size"), F.coalesce(F.col("_target"), F.lit(0.0)).cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken")))
+    names = [c for c in docs.columns if c not in new]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{source_col}`").alias("of"), words_in(f"`{text_col}`").alias("size"), keys.alias("key"))
+    out = rows.join(found, F.col("of").eqNullSafe(F.col("_s")), "left")
+    copies = F.col("_copies") + F.when(F.col("key") <= F.col("_last"), 1).otherwise(0)
+    return settled(out.select(*[F.col("row").getField(c).alias(c) for c in names], "size", F.col("_size").cast("long").alias("source_size"), F.coalesce(F.col("_target"), F.lit(0.0)).cast("double").alias("target"), (copies * F.col("size")).cast("long").alias("taken")))
 
 
 SQL = r"""

@@ -7,14 +7,15 @@ are one SQL expression.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-#: Labelled URLs that the trees are fitted on at most (about, by a hash of the URL), bins of a feature, suffixes with statistics of their own.
-SAMPLE, BINS, SUFFIXES = 20_000, 12, 256
+#: Labelled URLs that the trees are fitted on at most (about, by a hash of the URL), bins of a feature.
+SAMPLE, BINS = 20_000, 12
 TREES, DEPTH, RATE, RIDGE = 24, 3, 0.3, 1.0
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -58,13 +59,13 @@ def _count(text: Column, chars: str) -> Column:
 
 
 def features(url: Column, rates: dict[str, float], sizes: dict[str, float], base: float) -> dict[str, Column]:
-    """Lexical features of a URL; suffix statistics come as tables of a bounded size."""
+    """Lexical features of a URL; suffix statistics come as tables, with at most as many rows as the sample."""
     text = F.coalesce(url, F.lit(""))
     h, p = host(text), path(text)
     query = F.regexp_extract(text, r"(?s)\?([^#]*)", 1)
     length = F.length(text).cast("double")
     last = suffix(h)
-    table = lambda values, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), last), F.lit(other)) if values else F.lit(other)
+    table = lambda values, other: F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(values)), "map<string,double>"), last), F.lit(other)) if values else F.lit(other)
     return {
         "length": length,
         "host_length": F.length(h).cast("double"),
@@ -149,7 +150,7 @@ def fit_trees(labelled: DataFrame, url_col: str = "url", block_col: str = "block
     total = rows.count()
     stride = max(1, -(-total // SAMPLE))
     rows = rows.where(F.pmod(F.xxhash64("url"), F.lit(stride)) == 0)
-    by_suffix = rows.groupBy(suffix(host(F.col("url"))).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()
+    by_suffix = rows.groupBy(suffix(host(F.col("url"))).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum("block").alias("b")).orderBy("s").collect()  # as many as the sample has rows at most
     if not by_suffix:
         return Trees()
     base = sum(r["b"] for r in by_suffix) / sum(r["n"] for r in by_suffix)
@@ -171,16 +172,16 @@ def fit_trees(labelled: DataFrame, url_col: str = "url", block_col: str = "block
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], model: Trees, url_col: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule``, ``score`` (chance of block) and ``verdict``.
 
-    The longest rule that fits decides, else block at a score of 1/2 and more. A null url has an
-    empty host and path and is scored as the empty text. Columns of ``pages`` with the new names
-    are replaced.
+    The longest rule that fits decides, else block at a score above 1/2: a model without labelled rows
+    allows. A null url has an empty host and path and is scored as the empty text. Columns of ``pages``
+    with the new names are replaced; others may have any name.
     """
     url = F.col(url_col)
     new = ("host", "path", "rule", "verdict", "score")
     margin = model.margin(url)
-    keep = [F.col(c) for c in pages.columns if c not in new or c == url_col]
-    rows = pages.select(*keep, host(url).alias("_host"), path(url).alias("_path"), model.inputs.alias("_f"))
-    rule, verdict = rule_for(F.col("_host"), F.col("_path"), rules)
-    score = 1 / (1 + F.exp(-margin))
-    rows = rows.select(*keep, F.col("_host").alias("host"), F.col("_path").alias("path"), rule.alias("rule"), score.alias("score"), verdict.alias("_verdict"))
-    return rows.withColumn("verdict", F.coalesce("_verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))).drop("_verdict")
+    names = [c for c in pages.columns if c not in new or c == url_col]
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), host(url).alias("host"), path(url).alias("path"), model.inputs.alias("_f"))
+    rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
+    rows = rows.select("row", "host", "path", rule.alias("rule"), (1 / (1 + F.exp(-margin))).alias("score"), verdict.alias("says"))
+    final = F.coalesce("says", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in names], "host", "path", "rule", "score", final.alias("verdict"))

@@ -100,11 +100,11 @@ def between(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((total[ends] - total[starts]) * _powers(len(total), _INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
 
-def blocks(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of words that lie within about STEP_BYTES each, so that a long text is hashed in pieces."""
+def blocks(starts: np.ndarray, ends: np.ndarray, size: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of words that lie within about ``size`` (STEP_BYTES) bytes each, so that a long text is hashed in pieces."""
     i = 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP_BYTES, "right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (size or STEP_BYTES), "right")))
         yield i, j
         i = j
 
