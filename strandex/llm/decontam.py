@@ -7,8 +7,11 @@ of the documents are looked up among those of the benchmark, and every hit is ex
 sides, word by word, along its alignment; a run of SPAN words or more counts. Items of fewer than
 SPAN words count as one window of all their words.
 
-The benchmark is read in blocks of a bounded size, each held in memory by the tasks; the documents
-are scanned once for each block, never shuffled.
+A benchmark of up to BLOCK_BYTES is held in memory by the tasks, and the documents are scanned once
+and never shuffled. A larger one is dealt to small blocks: the fingerprints of the documents, thinned
+by a bitmap of bounded size, are joined with those of the blocks, and only texts that share one with
+a block are sent to it, in groups of a bounded size, to be extended. Both ways read the documents
+once for their fingerprints and find the same.
 """
 
 from __future__ import annotations
@@ -26,9 +29,17 @@ from strandex.llm.runtime import Tables
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-#: Bytes of benchmark text in a block, about (items are dealt to blocks by hash).
-BLOCK_BYTES = 8 << 20
+#: Bytes of a benchmark that is held whole, and of a block of a larger one, about (items are dealt by hash).
+BLOCK_BYTES, PART_BYTES = 8 << 20, 1 << 20
+#: Bytes of documents that one task extends against a block, about.
+GROUP_BYTES = 32 << 20
+#: Fingerprints of a benchmark that are broadcast to the join (12 bytes each); beyond, it is a shuffle in which
+#: a document's fingerprints go to one of SALT places of each value, so that one in many texts is spread.
+BROADCAST_MARKS, SALT = 1 << 20, 8
+#: Bits of the bitmap at most (32 MB).
+BITMAP_BITS = 28
 _FILTER_BITS = 20
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def _fingerprints(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,12 +140,121 @@ def _covered(runs: list[tuple[int, int]]) -> int:
     return total
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str):
-    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = math.ceil(size / BLOCK_BYTES) or 1
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    for i in range(n):
-        yield i, n, items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).toArrow() if n > 1 else items.toArrow()
+def _steps(column: pa.Array):
+    """Words of about STEP_BYTES of texts at a time, and where each text begins."""
+    data, offsets = wordhash.buffers(column)
+    for i, j in wordhash.steps(offsets):
+        part = data[offsets[i] : offsets[j]]
+        starts, ends, first = wordhash.spans(part, offsets[i : j + 1] - offsets[i], wordhash.NOT_ALNUM)
+        yield wordhash.hashes(part, starts, ends), first
+
+
+def _scan(block: Block, column: pa.Array) -> tuple[list[int], list[list[dict]], list[list[str]]]:
+    """For each text: its number of words, its runs, and the ids of its items."""
+    n_words, runs, items = [], [], []
+    for words, first in _steps(column):
+        hits = block.scan(words, first)
+        n_words += np.diff(first).tolist()
+        for r in range(len(first) - 1):
+            got = hits.get(r, ((), ()))
+            runs.append([{"start": a, "end": b} for a, b in sorted(set(got[0]))])
+            items.append(sorted({block.ids[x] for x in got[1]}))
+    return n_words, runs, items
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*values, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def _item_marks(batches):
+    """Per item: its block, its number of words if it is short, else 0, and its fingerprints."""
+    for batch in batches:
+        marks, short = [], []
+        for words in wordhash.documents(batch.column(1), wordhash.NOT_ALNUM):
+            small = len(words) < SPAN
+            short.append(len(words) if small else 0)
+            marks.append(np.unique(_fingerprints(words)[1]) if not small else wordhash.grams(words, len(words)) if len(words) else np.zeros(0, np.uint64))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.int32()), _lists(marks)], names=["block", "short", "marks"])
+
+
+def _text_marks(words: np.ndarray, first: np.ndarray, lengths: list[int], bitmap: np.ndarray) -> list[np.ndarray]:
+    """For each text its different fingerprints that the bitmap holds, and those of short items' ``lengths``."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    rows, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for n, found in [(SPAN, _fingerprints(words)[1]), *((n, wordhash.grams(words, n)) for n in lengths)]:
+        if len(found):
+            slot = found & np.uint64(64 * len(bitmap) - 1)
+            known = (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1)
+            at = np.flatnonzero(known.astype(bool) & (row[: len(found)] == row[n - 1 :]))
+            rows.append(row[at])
+            values.append(found[at])
+    r, v = np.concatenate(rows), np.concatenate(values)
+    order = np.lexsort((v, r))
+    r, v = r[order], v[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+    return np.split(v[new], np.searchsorted(r[new], np.arange(1, len(first) - 1)))
+
+
+def _bitmap(marks: DataFrame, n: int) -> np.ndarray:
+    """One bit for each value of the low bits of the fingerprints, in words of 64, eight bits a fingerprint if they fit."""
+    bits = min(BITMAP_BITS, max(10, (8 * n).bit_length()))
+    words = marks.select((F.col("value").bitwiseAND(F.lit((1 << bits) - 1))).alias("slot")).groupBy(F.expr("shiftright(slot, 6)").alias("i")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("w")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[words["i"].to_numpy()] = words["w"].to_numpy().view(np.uint64)
+    return out
+
+
+def _joined(keyed: DataFrame, kind: str, items: DataFrame, n: int, work: Tables) -> DataFrame:
+    """Scans texts against the blocks that they share a fingerprint with: id, hash, n_words, runs, items."""
+    spark = keyed.sparkSession
+    items = work.write("items", items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")))
+    own = work.write("own", items.select("block", "text").mapInArrow(_item_marks, "block int, short int, marks array<long>"))
+    lengths = sorted(r[0] for r in own.where("short > 0").select("short").distinct().collect())
+    marks = work.write("marks", own.select("block", F.explode("marks").alias("value")).distinct())
+    n_marks = marks.count()
+    bitmap = spark.sparkContext.broadcast(_bitmap(marks, n_marks))
+
+    def look(batches):
+        for batch in batches:
+            n_words, values = [], []
+            for words, first in _steps(batch.column(1)):
+                n_words += np.diff(first).tolist()
+                values += _text_marks(words, first, lengths, bitmap.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words, pa.int64()), _lists(values)], names=["id", "hash", "n_bytes", "n_words", "marks"])
+
+    sized = keyed.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    seen = work.write("seen", sized.mapInArrow(look, f"id {kind}, hash long, n_bytes long, n_words long, marks array<long>"))
+    bitmap.unpersist()
+    values = seen.select("id", "hash", "n_bytes", F.explode("marks").alias("value"))
+    if n_marks <= BROADCAST_MARKS:
+        met = values.join(F.broadcast(marks), "value")
+    else:
+        met = values.withColumn("salt", F.pmod("hash", F.lit(SALT)).cast("int")).join(marks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))), ["value", "salt"])
+    pairs = work.write("pairs", met.groupBy("id", "hash", "block").agg(F.max("n_bytes").alias("n_bytes")))
+    parts = work.write("parts", pairs.groupBy("block").agg(F.ceil(F.sum("n_bytes") / GROUP_BYTES).cast("int").alias("n_parts")))
+    parts = F.broadcast(parts) if n <= BROADCAST_MARKS else parts
+    part = F.pmod(F.xxhash64("id", "hash"), F.greatest("n_parts", F.lit(1))).cast("int")
+    wanted = pairs.join(parts, "block").select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "block", part.alias("part"))
+    # Rows that repeat an id and its text are one text here.
+    texts = keyed.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash"))).groupBy("id", "hash", "block", "part").agg(F.first("text").alias("text"))
+    dealt = items.join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n_parts"), F.lit(1)) - 1))).select("block", "part", "id", "text")
+
+    def meet(docs: pa.Table, own: pa.Table) -> pa.Table:
+        if not docs.num_rows:
+            runs = items = []
+        else:
+            _, runs, items = _scan(Block(own["id"].to_pylist(), own["text"]), docs["text"])
+        return pa.table({"id": docs["id"], "hash": docs["hash"], "runs": pa.array(runs, _SPAN), "items": pa.array(items, pa.list_(pa.string()))})
+
+    hits = texts.groupBy("block", "part").cogroup(dealt.groupBy("block", "part")).applyInArrow(meet, f"id {kind}, hash long, runs array<struct<start:long,end:long>>, items array<string>")
+    hits = hits.where(F.size("runs") > 0).groupBy("id", "hash").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = work.write("hits", hits.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "runs", "items"))
+    work.only("seen", "hits")
+    joined = seen.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
+    none = F.expr("cast(array() as array<struct<start:long,end:long>>)")
+    return joined.select("id", "hash", "n_words", F.coalesce("runs", none).alias("runs"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -148,47 +268,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = f"id {kind}, hash long, n_words long, runs array<struct<start:long,end:long>>, items array<string>"
-
-    def scan(shared):
-        def run(batches):
-            block = shared.value
-            for batch in batches:
-                data, offsets = wordhash.buffers(batch.column(1))
-                n_words, runs, items = [], [], []
-                for i, j in wordhash.steps(offsets):
-                    part = data[offsets[i] : offsets[j]]
-                    starts, ends, first = wordhash.spans(part, offsets[i : j + 1] - offsets[i], wordhash.NOT_ALNUM)
-                    hits = block.scan(wordhash.hashes(part, starts, ends), first)
-                    n_words += np.diff(first).tolist()
-                    for r in range(j - i):
-                        got = hits.get(r, ((), ()))
-                        runs.append([{"start": a, "end": b} for a, b in sorted(set(got[0]))])
-                        items.append(sorted({block.ids[x] for x in got[1]}))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, span), pa.array(items, pa.list_(pa.string()))], names=["id", "hash", "n_words", "runs", "items"])
-
-        return run
-
-    work, parts = Tables(spark, "decontam"), []
     keyed = rows.withColumn("hash", F.xxhash64("text"))
-    for i, n, table in _blocks(benchmark, item_col, text_col):
-        shared = spark.sparkContext.broadcast(Block(table["id"].to_pylist(), table["text"]))
-        part = keyed.mapInArrow(scan(shared), found)
-        if n == 1:
-            return _report(part, id_col)
-        parts.append(work.write(f"block{i}", part if i == 0 else part.where(F.size("runs") > 0)))
-        shared.unpersist()
-    # Rows with the same id and text have the same hits.
-    every = parts[0].select("id", "hash", "n_words")
-    hits = parts[0].where(F.size("runs") > 0)
-    for part in parts[1:]:
-        hits = hits.unionByName(part)
-    hits = hits.groupBy("id", "hash").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hits = hits.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "runs", "items")
-    joined = every.join(hits, F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left")
-    none = F.expr("cast(array() as array<struct<start:long,end:long>>)")
-    return _report(joined.select("id", "hash", "n_words", F.coalesce("runs", none).alias("runs"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")), id_col)
+    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    if size > BLOCK_BYTES:
+        return _report(_joined(keyed, kind, items, math.ceil(size / PART_BYTES), Tables(spark, "decontam")), id_col)
+    table = items.toArrow()
+    shared = spark.sparkContext.broadcast(Block(table["id"].to_pylist(), table["text"]))
+
+    def run(batches):
+        for batch in batches:
+            n_words, runs, found = _scan(shared.value, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, _SPAN), pa.array(found, pa.list_(pa.string()))], names=["id", "hash", "n_words", "runs", "items"])
+
+    return _report(keyed.mapInArrow(run, f"id {kind}, hash long, n_words long, runs array<struct<start:long,end:long>>, items array<string>"), id_col)
 
 
 def _report(found: DataFrame, id_col: str) -> DataFrame:

@@ -131,8 +131,10 @@ def test_leaks(spark, corpus, monkeypatch):
     texts = dict(corpus) | {200: "before " + items[0][1] + ", after", 201: items[2][1], 202: "zz " * 50, 203: " ".join(items[0][1].split()[:9])}
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.leaks(texts, items)
-    for size in (decontam.BLOCK_BYTES, 400):  # in one block and in several
-        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+    # Held whole; joined by broadcast and by shuffle, in blocks of a few items and of one, in groups of some texts and of one.
+    for whole, part, group, marks in ((decontam.BLOCK_BYTES, 1, 1, 1), (0, 400, 32 << 20, 1 << 20), (0, 50, 300, 0)):
+        for name, value in (("BLOCK_BYTES", whole), ("PART_BYTES", part), ("GROUP_BYTES", group), ("BROADCAST_MARKS", marks)):
+            monkeypatch.setattr(decontam, name, value)
         got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.find_leaks(frame(spark, texts), bench).collect()}
         assert got == want
     assert decontam.find_leaks(frame(spark, texts), bench.where("false")).where("contaminated").count() == 0
