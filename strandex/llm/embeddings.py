@@ -29,8 +29,9 @@ from strandex.llm.runtime import Tables
 TILE, NUMBERS, ROWS, STEP = 8192, 1 << 22, 256, 8
 #: Vectors that the splits between tiles are taken from (only their cut points depend on it).
 SAMPLE = 1 << 14
-#: Axes whose ranges bound a tile.
-BOX = 8
+#: Axes whose ranges bound a leaf of the splits, and leaves at most: what is known of all leaves and
+#: their neighbours is of a bounded size. A leaf of more vectors than a tile is cut into pieces by hash.
+BOX, LEAVES = 8, 1024
 _SLACK = 1e-9
 
 
@@ -181,7 +182,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     for size in [r[0] for r in same.select(F.size("vector").alias("d")).distinct().collect()]:
         of = same.where(F.size("vector") == size)
         n, parts, most = of.count(), 1, max(1, min(tile, NUMBERS // size))
-        while parts * most < n:
+        while parts * most < n and parts < LEAVES:
             parts *= 2
         axes = spark.sparkContext.broadcast(_axes(of))
         stride = -(-n // SAMPLE)
@@ -199,19 +200,17 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{n_}{c}") for c in lead for n_, f in (("low_", F.min), ("high_", F.max))]).orderBy("leaf").collect()
         low = np.array([[b[f"low_{c}"] for c in lead] for b in boxes])
         high = np.array([[b[f"high_{c}"] for c in lead] for b in boxes])
-        pieces, first = [-(-b["m"] // most) for b in boxes], [0]
-        for p in pieces:
-            first.append(first[-1] + p)
-        meets = []  # (leaf, piece) -> the pairs (tile, tile) it is part of
+        pieces = np.array([-(-b["m"] // most) for b in boxes])
+        first = np.concatenate([[0], np.cumsum(pieces)])
+        near = []  # per leaf: its first tile, its number of tiles, and the ranges of tiles that these meet
         for a, box in enumerate(boxes):
             gap = np.maximum(0, np.maximum(low - high[a], low[a] - high))
-            near = np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * threshold + _SLACK)
-            others = [t for b in near for t in range(first[b], first[b + 1])]
-            meets += [(box["leaf"], k, first[a] + k, others) for k in range(pieces[a])]
-        meets = spark.createDataFrame(meets, "leaf long, piece int, tile int, others array<int>")
-        n_pieces = F.create_map(*[x for b, p in zip(boxes, pieces) for x in (F.lit(b["leaf"]), F.lit(p))]) if max(pieces) > 1 else None
-        piece = F.pmod(F.xxhash64("id"), n_pieces[F.col("leaf")]).cast("int") if n_pieces is not None else F.lit(0)
-        dealt = placed.select("id", "weight", "vector", "leaf", piece.alias("piece")).join(F.broadcast(meets), ["leaf", "piece"]).select("id", "weight", "vector", "tile", F.explode("others").alias("other"))
+            close = np.flatnonzero((gap * gap).sum(axis=1) <= 2 - 2 * threshold + _SLACK)
+            near.append((box["leaf"], int(first[a]), int(pieces[a]), [(int(first[b]), int(first[b + 1]) - 1) for b in close]))
+        near = spark.createDataFrame(near, "leaf long, first long, pieces long, close array<struct<low:long,high:long>>")
+        others = F.flatten(F.transform("close", lambda x: F.sequence(x["low"], x["high"])))
+        dealt = placed.select("id", "weight", "vector", "leaf").join(F.broadcast(near), "leaf")  # LEAVES rows of LEAVES ranges at most
+        dealt = dealt.withColumn("tile", F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).select("id", "weight", "vector", "tile", F.explode(others).alias("other"))
         dealt = dealt.select("id", "weight", "vector", F.least("tile", "other").alias("t0"), F.greatest("tile", "other").alias("t1"), (F.col("tile") > F.col("other")).cast("int").alias("side"), (F.col("tile") == F.col("other")).alias("own"))
         met = work.write(f"met{size}", dealt.groupBy("t0", "t1").applyInArrow(_compare(threshold, axes), "id long, n long, top long"))
         counts.append(met.where("n > 0").select("id", "n"))
@@ -224,11 +223,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         classes = components(work.write("links", links.distinct()), work, "classes")
         n = n.groupBy("id").agg(F.sum("n").alias("n"))
         found = same.join(n, "id", "left").join(classes.withColumnRenamed("v", "id"), "id", "left")
-        found = found.select(F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("c", "id").alias("c"))
+        found = found.select(F.col("vector").alias("_vector"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("c", "id").alias("c"), "weight")
         found = work.write("found", found)
         work.only("found")
     else:
-        found = spark.createDataFrame([], "_vector array<double>, n_links long, c long")
-    out = rows.join(found, F.col("id").isNotNull() & (F.col("vector") == F.col("_vector")), "left")
+        found = spark.createDataFrame([], "_vector array<double>, n_links long, c long, weight long")
+    # A vector that holds this share of all rows is one of few, which hold NUMBERS numbers in all at most.
+    total = found.agg(F.sum("weight")).first()[0] or 0
+    common = F.col("weight") * F.lit(float(NUMBERS)) > F.size("_vector") * F.lit(float(total))
+    often, seldom = F.broadcast(found.where(common)), found.where(~common)
+    on = F.col("vector") == F.col("_vector")
+    out = sound.join(often, on).unionByName(sound.join(often, on, "left_anti").join(seldom, on))
+    alone = rows.where(~(F.col("id").isNotNull() & _finite(F.col("vector"))))
+    out = out.unionByName(alone, allowMissingColumns=True)
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

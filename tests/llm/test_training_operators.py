@@ -141,6 +141,19 @@ def test_leaks(spark, corpus, monkeypatch):
     assert decontam.find_leaks(frame(spark, texts).where("false"), bench).count() == 0
 
 
+def test_leaks_joined_edges(spark, monkeypatch):
+    """Null and repeated ids, repeated rows, one id on two texts, and a benchmark without words."""
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 0)
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(None, passage), (None, "clean text"), (1, passage + " x"), (1, passage + " x"), (1, "clean"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, passage), ("b", "...")], "item_id string, text string")
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontam.find_leaks(docs, bench).collect()), key=repr)
+    assert got == sorted([(None, 12, 12, 1), (None, 2, 0, 0), (1, 13, 12, 1), (1, 13, 12, 1), (1, 1, 0, 0), (2, 0, 0, 0), (3, 0, 0, 0)], key=repr)
+    assert decontam.find_leaks(docs, bench.where("item_id = 'b'")).where("contaminated").count() == 0
+    assert decontam.find_leaks(docs.where("false"), bench).count() == 0
+
+
 def test_line_dedup(spark, corpus):
     rng = random.Random(5)
     line = lambda: " ".join(words(rng, 4)) + rng.choice(["\n", ". ", "! "])
@@ -225,8 +238,10 @@ def test_spliced_counts_are_the_library_s(monkeypatch):
     assert counter.count(plain) < len(counter.model.encode(plain))  # the chunks' own encodings make the count
 
 
-@pytest.mark.parametrize("tile", [8, 2048])
-def test_near_vectors(spark, tile):
+@pytest.mark.parametrize("tile,leaves,numbers", [(8, 1024, 1 << 22), (8, 2, 128), (2048, 1024, 1 << 22)])
+def test_near_vectors(spark, monkeypatch, tile, leaves, numbers):
+    monkeypatch.setattr(embeddings, "LEAVES", leaves)  # leaves that are cut into pieces, and no vector that counts as common
+    monkeypatch.setattr(embeddings, "NUMBERS", numbers)
     rng = np.random.default_rng(0)
     base = rng.normal(size=(12, 16))
     vectors = {i: (base[i % 12] + rng.normal(size=16) * 0.18).tolist() for i in range(90)}
