@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandex.llm import wordhash
-from strandex.llm.runtime import Tables
+from strandex.llm.runtime import Tables, trimmed
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
@@ -210,7 +210,7 @@ def _joined(keyed: DataFrame, kind: str, items: DataFrame, n: int, work: Tables)
     """Scans texts against the blocks that they share a fingerprint with: id, hash, n_words, runs, items."""
     spark = keyed.sparkSession
     items = work.write("items", items.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")))
-    own = work.write("own", items.select("block", "text").mapInArrow(_item_marks, "block int, short int, marks array<long>"))
+    own = work.write("own", items.select("block", "text").mapInArrow(trimmed(_item_marks), "block int, short int, marks array<long>"))
     lengths = sorted(r[0] for r in own.where("short > 0").select("short").distinct().collect())
     marks = work.write("marks", own.select("block", F.explode("marks").alias("value")).distinct())
     n_marks = marks.count()
@@ -225,7 +225,7 @@ def _joined(keyed: DataFrame, kind: str, items: DataFrame, n: int, work: Tables)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n_words, pa.int64()), _lists(values)], names=["id", "hash", "n_bytes", "n_words", "marks"])
 
     sized = keyed.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    seen = work.write("seen", sized.mapInArrow(look, f"id {kind}, hash long, n_bytes long, n_words long, marks array<long>"))
+    seen = work.write("seen", sized.mapInArrow(trimmed(look), f"id {kind}, hash long, n_bytes long, n_words long, marks array<long>"))
     bitmap.unpersist()
     values = seen.select("id", "hash", "n_bytes", F.explode("marks").alias("value"))
     if n_marks <= BROADCAST_MARKS:
@@ -268,33 +268,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    keyed = rows.withColumn("hash", F.xxhash64("text"))
     size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     if size > BLOCK_BYTES:
-        return _report(_joined(keyed, kind, items, math.ceil(size / PART_BYTES), Tables(spark, "decontam")), id_col)
+        return _report(_joined(rows.withColumn("hash", F.xxhash64("text")), kind, items, math.ceil(size / PART_BYTES), Tables(spark, "decontam")), id_col)
     table = items.toArrow()
     shared = spark.sparkContext.broadcast(Block(table["id"].to_pylist(), table["text"]))
 
     def run(batches):
         for batch in batches:
-            n_words, runs, found = _scan(shared.value, batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(runs, _SPAN), pa.array(found, pa.list_(pa.string()))], names=["id", "hash", "n_words", "runs", "items"])
+            yield _reported(batch.column(0), id_col, *_scan(shared.value, batch.column(1)))
 
-    return _report(keyed.mapInArrow(run, f"id {kind}, hash long, n_words long, runs array<struct<start:long,end:long>>, items array<string>"), id_col)
+    return _flagged(rows.mapInArrow(trimmed(run), _columns(id_col, kind)))
+
+
+def _columns(id_col: str, kind: str) -> str:
+    return f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, runs array<struct<start:long,end:long>>, items array<string>"
+
+
+def _reported(ids: pa.Array, id_col: str, n_words: list[int], runs: list[list[dict]], items: list[list[str]]) -> pa.RecordBatch:
+    hit = [_covered([(x["start"], x["end"]) for x in r]) for r in runs]
+    sha = [hashlib.sha256(",".join(sorted(i)).encode()).hexdigest() for i in items]
+    arrays = [ids, pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(i) for i in items], pa.int64()), pa.array(sha, pa.string()), pa.array(runs, _SPAN), pa.array(items, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "runs", "items"])
+
+
+def _flagged(found: DataFrame) -> DataFrame:
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def _report(found: DataFrame, id_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
-            runs = batch.column(batch.schema.get_field_index("runs"))
-            items = batch.column(batch.schema.get_field_index("items"))
-            hit, sha = [], []
-            for r, i in zip(runs.to_pylist(), items.to_pylist()):
-                hit.append(_covered([(x["start"], x["end"]) for x in r]))
-                sha.append(hashlib.sha256(",".join(sorted(i)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(hit, pa.int64()), pa.array([len(x) for x in items.to_pylist()], pa.int64()), pa.array(sha), runs, items], names=[id_col, "n_words", "n_hit", "n_items", "items_sha256", "runs", "items"])
-
-    kind = found.schema["id"].dataType.simpleString()
-    out = found.mapInArrow(run, f"`{id_col}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, runs array<struct<start:long,end:long>>, items array<string>")
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+            yield _reported(batch.column(0), id_col, *(batch.column(c).to_pylist() for c in ("n_words", "runs", "items")))
+
+    return _flagged(found.mapInArrow(trimmed(run), _columns(id_col, found.schema["id"].dataType.simpleString())))

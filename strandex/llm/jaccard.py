@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandex.llm import wordhash
-from strandex.llm.runtime import Tables
+from strandex.llm.runtime import Tables, trimmed
 
 SKETCH, SHARED, WHOLE = 48, 12, 96
 FRAGMENTS = 8
@@ -82,7 +82,7 @@ def _profile(docs: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
             a, b = (pa.array(np.array([x[k] for x in sums], np.uint64).view(np.int64)) for k in (0, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), a, b, _longs(sketch)], names=["id", "n", "s1", "s2", "sketch"])
 
-    return docs.mapInArrow(run, "id long, n long, s1 long, s2 long, sketch array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, n long, s1 long, s2 long, sketch array<long>")
 
 
 def _exploded(docs: DataFrame, n: int) -> DataFrame:
@@ -105,7 +105,7 @@ def _exploded(docs: DataFrame, n: int) -> DataFrame:
                     ids, parts, held = [], [], 0
             yield rows(ids, parts)
 
-    return docs.mapInArrow(run, "id long, n long, gram long")
+    return docs.mapInArrow(trimmed(run), "id long, n long, gram long")
 
 
 def _fragments(docs: DataFrame, n: int) -> DataFrame:
@@ -128,7 +128,7 @@ def _fragments(docs: DataFrame, n: int) -> DataFrame:
                     held = ids, size, sums, frag, parts = [], [], [], [], []
             yield rows(*held)
 
-    return docs.mapInArrow(run, "id long, n long, s long, fragment int, grams array<long>")
+    return docs.mapInArrow(trimmed(run), "id long, n long, s long, fragment int, grams array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, work: Tables, name: str, repeated: bool) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _OWN_ROOT: dict[str, str] = {}
@@ -64,6 +67,26 @@ def sweep(since: int, keep: Tables) -> None:
     _OPEN[since:] = []
 
 
+def _trim() -> None:
+    """Gives freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; when they are done, freed memory goes back. Python workers outlive their
+    tasks, and would hold what the largest of them once needed beside the next tasks and the executor's heap."""
+
+    def task(batches):
+        yield from run(batches)
+        _trim()
+
+    return task
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` behind a generator of one row: a caller's filter on its columns stays above. Pushed below, a
     filter would evaluate costly expressions again, once for each reference to them."""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from strandex.llm import wordhash
-from strandex.llm.runtime import Tables
+from strandex.llm.runtime import Tables, trimmed
 
 #: Bytes of the stems that count as tokens beside the whole word.
 STEMS = (4, 5, 6)
@@ -71,8 +71,10 @@ def _tokens(part: np.ndarray, offsets: np.ndarray):
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Counts (token, columns) of several tables as one."""
     token, at = np.unique(np.concatenate([t for t, _ in parts]), return_inverse=True)
-    counts = np.concatenate([c for _, c in parts])
-    return token, np.stack([np.bincount(at, c, len(token)) for c in counts.T], axis=1).astype(np.int64)
+    counts = np.empty((len(token), len(_COUNTS)), np.int32)  # a column at a time: the tables are large beside a worker
+    for k in range(len(_COUNTS)):
+        counts[:, k] = np.bincount(at, np.concatenate([c[:, k] for _, c in parts]), len(token))
+    return token, counts
 
 
 _COUNTS = [f"{side}{f}" for f in range(FOLDS) for side in ("toxic", "other")]
@@ -83,7 +85,7 @@ def _presence(train: DataFrame) -> DataFrame:
 
     def batch_of(table):
         token, counts = table
-        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(c) for c in counts.T]], names=["token", *_COUNTS])
+        return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *[pa.array(c, pa.int64()) for c in counts.T.astype(np.int64)]], names=["token", *_COUNTS])
 
     def run(batches):
         held, size = [], 0
@@ -95,7 +97,7 @@ def _presence(train: DataFrame) -> DataFrame:
                 own = [np.unique(np.concatenate([k[first[r] : first[r + 1]] for k in kinds])) for r in range(j - i)]
                 token, at = np.unique(np.concatenate(own), return_inverse=True)
                 place = at * len(_COUNTS) + np.repeat(column[i:j], [len(x) for x in own])
-                counts = np.bincount(place, minlength=len(token) * len(_COUNTS)).reshape(-1, len(_COUNTS))
+                counts = np.bincount(place, minlength=len(token) * len(_COUNTS)).reshape(-1, len(_COUNTS)).astype(np.int32)
                 word = token != 0
                 held.append((token[word], counts[word]))
                 size += len(token)
@@ -110,7 +112,7 @@ def _presence(train: DataFrame) -> DataFrame:
         if held:
             yield batch_of(_merged(held))
 
-    rows = train.mapInArrow(run, "token long, " + ", ".join(f"{c} long" for c in _COUNTS))
+    rows = train.mapInArrow(trimmed(run), "token long, " + ", ".join(f"{c} long" for c in _COUNTS))
     return rows.groupBy("token").agg(*[F.sum(c).alias(c) for c in _COUNTS])
 
 
@@ -249,7 +251,7 @@ def _moments(train: DataFrame, shared) -> DataFrame:
                         total[model] += np.concatenate([[1, len(weights)], np.exp(np.outer(GRID, values)) @ times, len(weights) * np.exp(-GRID * best)])
         yield pa.RecordBatch.from_arrays([pa.array(range(1 + FOLDS), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["model", "sums"])
 
-    return train.where(~F.col("toxic")).select("text", "fold").mapInArrow(run, "model int, sums array<double>")
+    return train.where(~F.col("toxic")).select("text", "fold").mapInArrow(trimmed(run), "model int, sums array<double>")
 
 
 def _spread(train: DataFrame, shared) -> DataFrame:
@@ -265,7 +267,7 @@ def _spread(train: DataFrame, shared) -> DataFrame:
         y, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(at, pa.int32()), pa.array(total[y, at])], names=["toxic", "bin", "n"])
 
-    return train.select("text", "fold", "toxic").mapInArrow(run, "toxic int, bin int, n long")
+    return train.select("text", "fold", "toxic").mapInArrow(trimmed(run), "toxic int, bin int, n long")
 
 
 def _monotone(toxic: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -342,4 +344,4 @@ def score_texts(docs: DataFrame, scorer: Scorer, threshold: float = 0.3, id_col:
             score = scorer.score(np.array(evidence)) if evidence else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(evidence, pa.float64()), pa.array(passages, passage)], names=[id_col, "score", "predicted", "evidence", "passages"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence double, passages array<struct<start:long,end:long,score:double>>")
+    return docs.select(id_col, text_col).mapInArrow(trimmed(run), f"`{id_col}` {kind}, score double, predicted int, evidence double, passages array<struct<start:long,end:long,score:double>>")
