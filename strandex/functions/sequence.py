@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # The vocabulary in the order of its ids.
@@ -14,6 +16,11 @@ PAD, UNKNOWN, GAP, MASK, BOS, EOS = IDS["[pad]"], IDS["N"], IDS["-"], IDS["[MASK
 MULTIPLE, LEAST, LIMIT, PADDING_MULTIPLE, PADDING_LIMIT = 128, 256, 128_000, 256, 524_288
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once a row, wherever lambdas look at it again for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _lookup(token: Column, unknown: int) -> Column:
     ids = F.create_map(*[F.lit(x) for kv in IDS.items() for x in kv])
     return F.coalesce(F.try_element_at(ids, token), F.lit(unknown))
@@ -28,7 +35,7 @@ def token_ids(text: Column, pad_to: int | None = None, max_length: int | None =
         cut = F.concat(F.slice(ids, 1, max_length - 1), F.array(F.lit(EOS))) if ends else F.slice(ids, 1, max_length)
         ids = F.when(F.size(ids) > max_length, cut).otherwise(ids)
     if pad_to is not None:
-        ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(pad_to) - F.size(ids))))
+        ids = _once(ids, lambda ids: F.concat(ids, F.array_repeat(F.lit(PAD), F.greatest(F.lit(0), F.lit(pad_to) - F.size(ids)))))
     return ids
 
 
@@ -74,10 +81,15 @@ def valid_mask(ids: Column) -> Column:
 def masked_ids(ids: Column, rate: float, seed: str = "0") -> Column:
     """Of the positions that aren't padding the share ``rate``, chosen by a hash of the place, is
     looked at; bases among them become [MASK]."""
-    places = F.filter(F.transform(ids, lambda x, i: F.when(x != PAD, F.struct(F.xxhash64(F.lit(seed), i).alias("h"), i.alias("i")))), lambda x: x.isNotNull())
-    chosen = F.transform(F.slice(F.array_sort(places), 1, F.floor(F.size(places) * rate).cast("int")), lambda x: x["i"])
+    place = lambda i: F.xxhash64(F.lit(seed), i)  # noqa: E731  of an int: no two places share a hash, so the last chosen one tells all
     bases = [IDS[x] for x in "ATCGatcg"]
-    return F.transform(ids, lambda x, i: F.when(F.array_contains(chosen, i) & x.isin(*bases), F.lit(MASK)).otherwise(x))
+
+    def masked(ids):
+        places = F.filter(F.transform(ids, lambda x, i: F.when(x != PAD, place(i))), lambda h: h.isNotNull())
+        last = _once(F.sort_array(places), lambda h: F.get(h, F.least(F.size(h), F.floor(F.size(h) * rate).cast("int")) - 1))
+        return _once(last, lambda last: F.transform(ids, lambda x, i: F.when((place(i) <= last) & x.isin(*bases), F.lit(MASK)).otherwise(x)))
+
+    return _once(ids, masked)
 
 
 def model_length(length: Column) -> Column:

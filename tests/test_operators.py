@@ -1,4 +1,5 @@
 import math
+import threading
 
 import numpy as np
 import pytest
@@ -96,6 +97,31 @@ def test_sequences_and_tokens(spark):
     assert [r[0] for r in t.select(sequence.padding_length(F.col("n"))).collect()] == [256, 256, 256, 512, 128_000, 128_256]
 
 
+def test_masked_places_follow_the_order_of_their_hashes(spark):
+    n, rate = 40, 0.3
+    hashes = [r[0] for r in spark.range(n).select(F.xxhash64(F.lit("0"), F.col("id").cast("int"))).collect()]
+    ids = ([1, 2, 19, 0, 8, None, 61, 7] * 5)[:n]
+    places = sorted((i for i in range(n) if ids[i] not in (0, None)), key=hashes.__getitem__)
+    chosen = set(places[: int(len(places) * rate)])
+    want = [sequence.MASK if i in chosen and x in range(1, 9) else x for i, x in enumerate(ids)]
+    df = spark.createDataFrame([(ids,), ([],), (None,), ([0, 0],)], "ids array<int>")
+    assert [r[0] for r in df.select(sequence.masked_ids(F.col("ids"), rate)).collect()] == [want, [], None, [0, 0]]
+    assert sequence.MASK in want
+
+
+def test_masking_chooses_once_a_sequence(spark):
+    """The choice doesn't come again for each base: 300,000 bases take seconds, not minutes."""
+    text = F.repeat(F.lit("ATcg"), 250 + (F.col("id") % 2).cast("int"))
+    ids = sequence.masked_ids(sequence.token_ids(text, pad_to=1100), 0.25)
+    df = spark.range(0, 300, 1, 4).select("id", F.size(F.filter(ids, lambda x: x == sequence.MASK)).alias("n"))
+    late = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    late.start()
+    try:
+        assert rows(df, "id") == [(i, 250 + i % 2) for i in range(300)]
+    finally:
+        late.cancel()
+
+
 def test_embedding_names_and_columns(spark):
     widths = {vectors.field(t, s): 4 for t in vectors.TRACKS for s in (False, True)}
     assert len(vectors.embedding_names(widths)) == 60
